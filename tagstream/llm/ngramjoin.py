@@ -53,7 +53,7 @@ BIT_BITS = 25  # bits that tell which ids are wanted
 BLOCK_BITS = 10  # rows in which either table travels
 MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
-SMALL = 48
+SMALL = 128
 BLOCK = 512
 COLUMNS = 4096
 _LOW = B.lowered_table(bytes([32, 9, 10, 11, 12, 13]))
@@ -306,8 +306,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     entries = entries.select("token", "id", F.greatest(F.lit(1), F.col("pos") - F.col("one") + 2).cast("short").alias("level"), F.col("matches").cast("short").alias("matches"))
     heads = entries.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
     near = scratch.keep(entries.join(heads, "token"))
-    stars = near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
-    sets = scratch.keep(wanted_sets(texts, near.select("id").distinct(), words))
+    stars = scratch.keep(near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct())
+    ends = lambda p: p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id")))
+    sets = scratch.keep(wanted_sets(texts, ends(stars), words))
     linked = scratch.keep(verified(stars, sets, percent))
     joined = components(linked, scratch)
 
@@ -320,12 +321,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     two = few.select("token", F.col("id").alias("y"), F.col("level").alias("ly"), F.col("matches").alias("my"), F.col("c").alias("cy"))
     met = one.join(two, "token").where("x < y AND cx <> cy AND lx <= least(mx, my) AND ly <= least(mx, my)")
     pairs = met.groupBy("x", "y").agg(F.countDistinct("token").alias("n"), F.min(F.least("mx", "my")).alias("k")).where("n >= k").select("x", "y")
+    pairs = scratch.keep(pairs)
 
     many = cross.where(F.col("size") > SMALL)
     firsts = many.groupBy("id").agg(F.min("token").alias("first"))
     many = many.join(firsts, "id").withColumn("new", F.col("first") == F.col("token"))
     news = many.groupBy("token").agg(F.sum(F.col("new").cast("long")).alias("fresh")).where("fresh > 0")
     many = many.join(news, "token").withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("fresh") / BLOCK))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / BLOCK)))
+    sets = scratch.keep(wanted_sets(texts, ends(pairs).unionByName(many.select("id")), words))
     fresh = many.where("new").select("token", "id", "c", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)).alias("j"), F.lit(0).alias("side"))
     every = many.select("token", "id", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("fresh") / BLOCK) - 1)).alias("i"), F.col("j"), F.lit(1).alias("side"))
     blocks = fresh.unionByName(every).join(sets, "id")
