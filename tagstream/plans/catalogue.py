@@ -304,13 +304,13 @@ def _(read):
     return windowed(read).select(*KEY, "v.*")
 
 
-@query("affine_points", f"""WITH {WINDOW} SELECT {KEYS}, round(ca * x0 + sa * y0 + (1 - ca) * cx - sa * cy - x, 2) AS px, round(-sa * x0 + ca * y0 + sa * cx + (1 - ca) * cy - y, 2) AS py FROM v""")
+@query("affine_points", f"""WITH {WINDOW} SELECT {KEYS}, round(ca * x0 + sa * y0 + (1 - ca) * cx - sa * cy - x, 2) + 0.0 AS px, round(-sa * x0 + ca * y0 + sa * cx + (1 - ca) * cy - y, 2) + 0.0 AS py FROM v""")
 def _(read):
     t, v = F.col("t"), F.col("v")
     x, y = F.col("x0").cast("double"), F.col("y0").cast("double")
     exact = windowed(read).withColumn("moved", G.transformed(F.col("points"), t, v["x"], v["y"]))
     # The stored point is a float; the query shows the double it came from, as rounding a float need not round alike.
-    near = lambda c, stored: F.when(F.abs(c - stored) < 1e-3, F.round(c, 2))
+    near = lambda c, stored: F.when(F.abs(c - stored) < 1e-3, F.round(c, 2) + 0.0)
     return exact.select(*KEY, near(t["a"] * x + t["b"] * y + t["tx"] - v["x"], F.col("moved")[0]["x"]).alias("px"), near(-t["b"] * x + t["a"] * y + t["ty"] - v["y"], F.col("moved")[0]["y"]).alias("py"))
 
 
