@@ -16,11 +16,12 @@ Hot groups.  Texts with the same set are one node (the smallest id).  The nodes
 at one prefix shingle are first compared with the smallest of them only; what
 links there is one component.  Afterwards only pairs of different components
 are left: at shingles with up to ``SMALL`` nodes they are listed, counted and cut
-by the required matches; at larger ones, blocks of nodes meet in one task each
-with their whole sets, which hands on proven links only, one for each two
-components.  There, a pair is taken up at the first large shingle of one of its
-texts, not again at every other.  No pair is lost, and all candidates are
-verified on whole sets.
+by the required matches; at larger ones, blocks of nodes meet in one task each.
+There, a pair is taken up at the first large shingle of one of its texts, not
+again at every other.  All candidates pass a bound first: each text has a bitmap
+of the parities of its shingles' slots, two bitmaps differ in no more bits than
+the sets in shingles, so n + n' less that number is at least twice what is
+shared.  What the bound leaves is verified on whole sets; no pair is lost.
 
 The components are found by alternating large-star and small-star steps on
 tables in the shared folder.  To the driver come only the slot counts and bit
@@ -55,7 +56,7 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
 SMALL = 128
 BLOCK = 512
-COLUMNS = 4096
+PARITY_BITS = 1024
 _LOW = B.lowered_table(bytes([32, 9, 10, 11, 12, 13]))
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -152,9 +153,30 @@ def wanted_bits(ids: DataFrame) -> np.ndarray:
     return gathered(ids.mapInArrow(run, "block int, data binary"), 1 << (BIT_BITS - 3), np.uint8, np.bitwise_or)
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each row a bitmap: whether an odd number of its shingles falls into each of ``PARITY_BITS`` slots."""
+    out = []
+    for a in range(0, len(bounds) - 1, 2048):
+        b = min(len(bounds) - 1, a + 2048)
+        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        slot = (h[bounds[a] : bounds[b]] & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+        odd = np.bincount(row * PARITY_BITS + slot, minlength=(b - a) * PARITY_BITS) & 1
+        out += [r.tobytes() for r in np.packbits(odd.reshape(b - a, PARITY_BITS).astype(bool), axis=1)]
+    return pa.array(out, pa.binary())
+
+
+def bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITY_BITS // 64)
+
+
+def may_link(differ: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets of ``size`` together that differ in at least so many shingles can link."""
+    return 100 * (size - differ) >= percent * (size + differ)  # shared <= (size - differ) / 2, and either side is size - shared
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(id, n, a, b, one, matches, tokens): set size, 128-bit signature of the set, length of the prefix for one
-    match, required matches k, and the prefix for k matches in the global order."""
+    """(id, n, a, b, one, matches, tokens, parity): set size, 128-bit signature of the set, length of the prefix for
+    one match, required matches k, the prefix for k matches in the global order, and the bitmap of parities."""
     held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
     usual = float(counts.mean())
 
@@ -168,6 +190,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 mixed = B.mix64(h + np.uint64(_ODD[5]))
                 total = np.concatenate([[np.uint64(0)], np.cumsum(h)]), np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
                 a, b = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
+                bitmaps = parities(h, bounds)
                 f = seen[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 row = np.repeat(np.arange(len(n)), n)
                 by = np.argsort(f, kind="stable")  # rows stand in ascending hash, so ties stay so
@@ -187,11 +210,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 taken = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(bounds[:-1], size)
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[taken].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), *(pa.array(v) for v in (n, a, b, one, matches)), tokens],
-                    names=["id", "n", "a", "b", "one", "matches", "tokens"],
+                    [ids.slice(first, end - first), *(pa.array(v) for v in (n, a, b, one, matches)), tokens, bitmaps],
+                    names=["id", "n", "a", "b", "one", "matches", "tokens", "parity"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, one long, matches long, tokens array<long>")
+    return docs.mapInArrow(run, "id long, n long, a long, b long, one long, matches long, tokens array<long>, parity binary")
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -233,42 +256,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(near).select("x", "y", "p", "q").mapInArrow(run, "x long, y long")
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Shared elements of every left set with every right one, by matrix products over slices of the elements."""
-    every = np.concatenate([*left, *right])
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
-    by = np.argsort(every)
-    every, owner = every[by], owner[by]
-    first = np.concatenate([[True], every[1:] != every[:-1]])
-    column = np.cumsum(first) - 1
-    often = np.bincount(column) > 1
-    keep = often[column]
-    column, owner = (np.cumsum(often) - 1)[column[keep]], owner[keep]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for a in range(0, int(often.sum()), COLUMNS):
-        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
-        part = np.zeros((len(left) + len(right), COLUMNS), np.float32)
-        part[owner[lo:hi], column[lo:hi] - a] = 1
-        out += part[: len(left)] @ part[len(left) :].T
-    return out
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that their bitmaps and sizes do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.bitwise_count(bitmaps(batch.column(2)) ^ bitmaps(batch.column(3))).sum(axis=1, dtype=np.int64)
+            yield batch.select(["x", "y"]).filter(pa.array(may_link(differ, batch.column(4).to_numpy(), percent)))
+
+    side = lambda k, bits, n: nodes.select(F.col("id").alias(k), F.col("parity").alias(bits), F.col("n").alias(n))
+    met = pairs.join(side("x", "p", "m"), "x").join(side("y", "q", "n"), "y").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+    return met.select("x", "y", "p", "q", (F.col("m") + F.col("n")).alias("size")).mapInArrow(run, "x long, y long").distinct()
 
 
-def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the two sides of a block, one for each two components."""
-    frame = frame.drop_duplicates(["id", "side"])
+def block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of different components over the two sides of a block that their bitmaps do not rule out."""
     new, old = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    empty = pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
-    if new.empty or old.empty:
-        return empty
-    left, right = ([np.frombuffer(s, np.uint64) for s in side["set"]] for side in (new, old))
-    shared = shared_counts(left, right)
-    size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-    apart = new["c"].to_numpy()[:, None] != old["c"].to_numpy()[None, :]
-    i, j = np.nonzero((100 * shared >= percent * (size - shared)) & (shared > 0) & apart)
-    if not len(i):
-        return empty
-    found = pd.DataFrame({"x": new["id"].to_numpy()[i], "y": old["id"].to_numpy()[j], "cx": new["c"].to_numpy()[i], "cy": old["c"].to_numpy()[j]})
-    return found.drop_duplicates(["cx", "cy"])[["x", "y"]]
+    found = []
+    if len(new) and len(old):
+        left, right = (np.frombuffer(b"".join(side["parity"]), np.uint64).reshape(len(side), -1) for side in (new, old))
+        size = old["n"].to_numpy()
+        for one, n, c, name in zip(left, new["n"], new["c"], new["id"]):
+            differ = np.bitwise_count(one ^ right).sum(axis=1, dtype=np.int64)
+            near = 100 * np.minimum(n, size) >= percent * np.maximum(n, size)
+            take = may_link(differ, n + size, percent) & near & (old["c"].to_numpy() != c)
+            found.append(pd.DataFrame({"x": np.minimum(name, old["id"].to_numpy()[take]), "y": np.maximum(name, old["id"].to_numpy()[take])}))
+    return pd.concat(found) if found else pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -301,12 +314,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     known = rows.where("id IS NOT NULL AND n > 0")
     same = scratch.keep(known.groupBy("a", "b").agg(F.min("id").alias("rep")))
     nodes = known.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    marks = known.select("id", "n", "parity")
     # level: the least k for which the shingle belongs to the prefix.
     entries = nodes.select("id", "one", "matches", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "id", F.greatest(F.lit(1), F.col("pos") - F.col("one") + 2).cast("short").alias("level"), F.col("matches").cast("short").alias("matches"))
     heads = entries.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
     near = scratch.keep(entries.join(heads, "token"))
-    stars = scratch.keep(near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct())
+    stars = near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
+    stars = scratch.keep(bounded(stars, marks, percent))
     ends = lambda p: p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id")))
     sets = scratch.keep(wanted_sets(texts, ends(stars), words))
     linked = scratch.keep(verified(stars, sets, percent))
@@ -321,20 +336,20 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     two = few.select("token", F.col("id").alias("y"), F.col("level").alias("ly"), F.col("matches").alias("my"), F.col("c").alias("cy"))
     met = one.join(two, "token").where("x < y AND cx <> cy AND lx <= least(mx, my) AND ly <= least(mx, my)")
     pairs = met.groupBy("x", "y").agg(F.countDistinct("token").alias("n"), F.min(F.least("mx", "my")).alias("k")).where("n >= k").select("x", "y")
-    pairs = scratch.keep(pairs)
 
     many = cross.where(F.col("size") > SMALL)
     firsts = many.groupBy("id").agg(F.min("token").alias("first"))
     many = many.join(firsts, "id").withColumn("new", F.col("first") == F.col("token"))
     news = many.groupBy("token").agg(F.sum(F.col("new").cast("long")).alias("fresh")).where("fresh > 0")
     many = many.join(news, "token").withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("fresh") / BLOCK))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / BLOCK)))
-    sets = scratch.keep(wanted_sets(texts, ends(pairs).unionByName(many.select("id")), words))
     fresh = many.where("new").select("token", "id", "c", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)).alias("j"), F.lit(0).alias("side"))
     every = many.select("token", "id", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("fresh") / BLOCK) - 1)).alias("i"), F.col("j"), F.lit(1).alias("side"))
-    blocks = fresh.unionByName(every).join(sets, "id")
-    more = blocks.groupBy("token", "i", "j").applyInPandas(functools.partial(block_links, percent=percent), "x long, y long")
+    blocks = fresh.unionByName(every).join(marks, "id")
+    more = blocks.groupBy("token", "i", "j").applyInPandas(functools.partial(block_pairs, percent=percent), "x long, y long")
 
-    found = scratch.keep(verified(pairs, sets, percent).unionByName(more).distinct())
+    left = scratch.keep(bounded(pairs, marks, percent).unionByName(more.distinct()).distinct())
+    sets = scratch.keep(wanted_sets(texts, ends(left), words))
+    found = verified(left, sets, percent)
     final = components(linked.unionByName(found), scratch)
     of_set = same.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", F.coalesce("c", "rep").alias("c"))
     out = rows.where("n > 0").select("id", "n", "a", "b").join(of_set, ["a", "b"], "left").select("id", "n", "c")
