@@ -19,8 +19,8 @@ Text form: one space is put before a text that is not empty, and decoding takes
 it away again; nothing else is normalised, so decoding gives back every text,
 literal U+2581 and control characters included.
 
-Defined results: null and empty texts have no pieces and decode to null and
-empty.  Rows with a null key share one key.  Repeated rows (same key, same text)
+Defined results: null and empty texts have no pieces, which decode to the empty
+text; null ids decode to null.  Rows with a null key share one key.  Repeated rows (same key, same text)
 get the same pieces.
 """
 
