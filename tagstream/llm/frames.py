@@ -68,17 +68,21 @@ class Scratch:
     """Tables written in the shared folder, which any executor can read again after one is lost."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again: the plan before it is cut off."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+        path = f"{self.root}/{len(self.paths) + 1}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[len(self.paths)] = (out, path)
+        return out
 
-    def drop(self, number: int) -> None:
-        """Delete the table of that number, when no plan reads it any more."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete kept tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for k, (table, path) in list(self.paths.items()):
+            if table is not None and any(table is t for t in tables):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                self.paths[k] = (None, path)

@@ -56,7 +56,7 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
 SMALL = 128
 BLOCK = 512
-PARITY_BITS = 1024
+PARITY_BITS = (512, 1 << 16)  # of a bitmap: about one for each shingle, within these bounds
 _LOW = B.lowered_table(bytes([32, 9, 10, 11, 12, 13]))
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -98,28 +98,40 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def in_blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A table as rows (block, bytes), blocks of zeros left out."""
+    """A table as rows (block, width, bytes): blocks of zeros left out, values as narrow as they allow."""
     size = max(1, len(table) >> BLOCK_BITS)
-    full = [k for k in range(len(table) // size) if table[k * size : (k + 1) * size].any()]
-    data = pa.array([table[k * size : (k + 1) * size].tobytes() for k in full], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), data], names=["block", "data"])
+    blocks, widths, parts = [], [], []
+    for k in range(len(table) // size):
+        part = table[k * size : (k + 1) * size]
+        if part.any():
+            kind = np.min_scalar_type(int(part.max()))
+            blocks.append(k)
+            widths.append(kind.itemsize)
+            parts.append(part.astype(kind).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(widths, pa.int32()), pa.array(parts, pa.binary())], names=["block", "width", "data"])
 
 
-def gathered(parts: DataFrame, size: int, kind: type, merge: np.ufunc) -> np.ndarray:
+TABLE = "block int, width int, data binary"
+_KINDS = {k().itemsize: k for k in (np.uint8, np.uint16, np.uint32, np.uint64)}
+
+
+def gathered(parts: DataFrame, size: int, merge: np.ufunc) -> np.ndarray:
     """The tables of all tasks merged into one of ``size``: block by block on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(data.as_buffer(), kind)
-                held[block] = merge(held[block], part) if block in held else part.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "data"])
-
-    out = np.zeros(size, kind)
-    width = max(1, size >> BLOCK_BITS)
-    for r in parts.repartition("block").mapInArrow(run, "block int, data binary").collect():  # 2 ** BLOCK_BITS rows
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["data"], kind)
+            for block, width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                part = np.frombuffer(data.as_buffer(), _KINDS[width]).astype(np.uint64)
+                held[block] = merge(held[block], part) if block in held else part
+        for block, part in held.items():
+            kind = np.min_scalar_type(int(part.max()))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind.itemsize], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["block", "width", "data"])
+
+    out = np.zeros(size, np.uint64)
+    span = max(1, size >> BLOCK_BITS)
+    for r in parts.repartition("block").mapInArrow(run, TABLE).collect():  # 2 ** BLOCK_BITS rows
+        out[r["block"] * span : (r["block"] + 1) * span] = np.frombuffer(r["data"], _KINDS[r["width"]])
     return out
 
 
@@ -127,14 +139,20 @@ def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
     """How many shingles of all texts fall into each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SLOT_BITS, np.int64)
+        table, waiting, n = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
         for batch in batches:
             for _, _, data, off in B.chunks(*B.string_buffers(batch.column(0))):
                 h, _ = shingles(data, off, words)
-                table += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(table))
+                waiting.append((h >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+                n += len(h)
+                if n > len(table):
+                    table += np.bincount(np.concatenate(waiting), minlength=len(table)).astype(np.uint32)
+                    waiting, n = [], 0
+        if waiting:
+            table += np.bincount(np.concatenate(waiting), minlength=len(table)).astype(np.uint32)
         yield from in_blocks(table)
 
-    return gathered(texts.mapInArrow(run, "block int, data binary"), 1 << SLOT_BITS, np.int64, np.add)
+    return gathered(texts.mapInArrow(run, TABLE), 1 << SLOT_BITS, np.add)
 
 
 def spread(ids: np.ndarray) -> np.ndarray:
@@ -150,23 +168,42 @@ def wanted_bits(ids: DataFrame) -> np.ndarray:
             table[spread(batch.column(0).to_numpy())] = True
         yield from in_blocks(np.packbits(table))
 
-    return gathered(ids.mapInArrow(run, "block int, data binary"), 1 << (BIT_BITS - 3), np.uint8, np.bitwise_or)
+    return gathered(ids.mapInArrow(run, TABLE), 1 << (BIT_BITS - 3), np.bitwise_or).astype(np.uint8)
 
 
 def parities(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """For each row a bitmap: whether an odd number of its shingles falls into each of ``PARITY_BITS`` slots."""
-    out = []
-    for a in range(0, len(bounds) - 1, 2048):
-        b = min(len(bounds) - 1, a + 2048)
-        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-        slot = (h[bounds[a] : bounds[b]] & np.uint64(PARITY_BITS - 1)).astype(np.int64)
-        odd = np.bincount(row * PARITY_BITS + slot, minlength=(b - a) * PARITY_BITS) & 1
-        out += [r.tobytes() for r in np.packbits(odd.reshape(b - a, PARITY_BITS).astype(bool), axis=1)]
+    """For each row a bitmap: whether an odd number of its shingles falls into each slot, the low bits of the hash."""
+    n = np.diff(bounds)
+    size = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *PARITY_BITS)
+    out = np.empty(len(n), object)
+    for bits in np.unique(size):
+        of = np.flatnonzero(size == bits)
+        step = max(1, (1 << 21) // int(bits))
+        for at in range(0, len(of), step):
+            rows = of[at : at + step]
+            picked = np.concatenate([h[bounds[r] : bounds[r + 1]] for r in rows])
+            slot = np.repeat(np.arange(len(rows)), n[rows]) * bits + (picked & np.uint64(bits - 1)).astype(np.int64)
+            odd = (np.bincount(slot, minlength=len(rows) * bits) & 1).astype(bool).reshape(len(rows), bits)
+            out[rows] = [r.tobytes() for r in np.packbits(odd, axis=1)]
     return pa.array(out, pa.binary())
 
 
-def bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), PARITY_BITS // 64)
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of fewer slots: those that fall together are added modulo 2."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
+
+def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ, the longer one folded."""
+    out = np.zeros(len(left), np.int64)
+    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    for x, y in {*zip(a.tolist(), b.tolist())}:
+        rows = np.flatnonzero((a == x) & (b == y))
+        width = min(x, y)
+        p = folded(np.frombuffer(b"".join(left[r] for r in rows), np.uint8).reshape(len(rows), x), width)
+        q = folded(np.frombuffer(b"".join(right[r] for r in rows), np.uint8).reshape(len(rows), y), width)
+        out[rows] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def may_link(differ: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
@@ -177,7 +214,7 @@ def may_link(differ: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """(id, n, a, b, one, matches, tokens, parity): set size, 128-bit signature of the set, length of the prefix for
     one match, required matches k, the prefix for k matches in the global order, and the bitmap of parities."""
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.uint64(2**31 - 1)).astype(np.int32))
     usual = float(counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +227,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 mixed = B.mix64(h + np.uint64(_ODD[5]))
                 total = np.concatenate([[np.uint64(0)], np.cumsum(h)]), np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
                 a, b = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
-                bitmaps = parities(h, bounds)
+                maps = parities(h, bounds)
                 f = seen[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 row = np.repeat(np.arange(len(n)), n)
                 by = np.argsort(f, kind="stable")  # rows stand in ascending hash, so ties stay so
@@ -210,21 +247,59 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 taken = np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(bounds[:-1], size)
                 tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h[taken].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), *(pa.array(v) for v in (n, a, b, one, matches)), tokens, bitmaps],
+                    [ids.slice(first, end - first), *(pa.array(v) for v in (n, a, b, one, matches)), tokens, maps],
                     names=["id", "n", "a", "b", "one", "matches", "tokens", "parity"],
                 )
 
     return docs.mapInArrow(run, "id long, n long, a long, b long, one long, matches long, tokens array<long>, parity binary")
 
 
+def marked(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    where = spread(values)
+    return (bits[where >> 3] >> (7 - (where & 7)) & 1).astype(bool)
+
+
+def entries(nodes: DataFrame, shared: np.ndarray | None = None) -> DataFrame:
+    """(token, id, level, matches) of every prefix shingle, or of those with a bit; level: the least k whose prefix holds it."""
+    bits = nodes.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, one, matches = (batch.column(k).to_numpy() for k in range(3))
+            tokens = batch.column(3).flatten().to_numpy()
+            count = batch.column(3).value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(ids)), count)
+            level = np.maximum(1, np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count) - one[row] + 2)
+            if bits.value is not None:
+                use = marked(tokens, bits.value)
+                tokens, row, level = tokens[use], row[use], level[use]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids[row]), pa.array(level.astype(np.int16)), pa.array(matches[row].astype(np.int16))], names=["token", "id", "level", "matches"])
+
+    return nodes.select("id", "one", "matches", "tokens").mapInArrow(run, "token long, id long, level short, matches short")
+
+
+def without_copies(known: DataFrame, same: DataFrame) -> DataFrame:
+    """One row for each set.  Rows without a bit among the copies' ids stay where they are; only the others are shuffled."""
+    copies = known.select("id", "a", "b").join(same, ["a", "b"]).where("id <> rep").select("id")
+    bits = known.sparkSession.sparkContext.broadcast(wanted_bits(copies))
+    fields = known.select("id", "one", "matches", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("perhaps", pa.array(marked(batch.column(0).to_numpy(), bits.value)))
+
+    sifted = fields.mapInArrow(run, "id long, one long, matches long, tokens array<long>, perhaps boolean")
+    exact = sifted.where("perhaps").join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    return sifted.where("NOT perhaps").unionByName(exact).drop("perhaps")
+
+
 def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, set): the whole sets of the wanted ids, and of a few others; the texts are not shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = spread(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array((bits.value[where >> 3] >> (7 - (where & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array(marked(batch.column(0).to_numpy(), bits.value)))
             for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1))):
                 h, bounds = shingles(data, off, words)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
@@ -261,7 +336,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            differ = np.bitwise_count(bitmaps(batch.column(2)) ^ bitmaps(batch.column(3))).sum(axis=1, dtype=np.int64)
+            differ = differing(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield batch.select(["x", "y"]).filter(pa.array(may_link(differ, batch.column(4).to_numpy(), percent)))
 
     side = lambda k, bits, n: nodes.select(F.col("id").alias(k), F.col("parity").alias(bits), F.col("n").alias(n))
@@ -273,14 +348,18 @@ def block_pairs(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of different components over the two sides of a block that their bitmaps do not rule out."""
     new, old = frame[frame["side"] == 0], frame[frame["side"] == 1]
     found = []
-    if len(new) and len(old):
-        left, right = (np.frombuffer(b"".join(side["parity"]), np.uint64).reshape(len(side), -1) for side in (new, old))
-        size = old["n"].to_numpy()
-        for one, n, c, name in zip(left, new["n"], new["c"], new["id"]):
-            differ = np.bitwise_count(one ^ right).sum(axis=1, dtype=np.int64)
-            near = 100 * np.minimum(n, size) >= percent * np.maximum(n, size)
-            take = may_link(differ, n + size, percent) & near & (old["c"].to_numpy() != c)
-            found.append(pd.DataFrame({"x": np.minimum(name, old["id"].to_numpy()[take]), "y": np.maximum(name, old["id"].to_numpy()[take])}))
+    for width, part in old.groupby(old["parity"].map(len)):
+        maps, size = np.frombuffer(b"".join(part["parity"]), np.uint8).reshape(len(part), width), part["n"].to_numpy()
+        names, places = part["id"].to_numpy(), part["c"].to_numpy()
+        for one, n, c, name in zip(new["parity"], new["n"], new["c"], new["id"]):
+            take = np.flatnonzero((100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (places != c))
+            if not len(take):
+                continue
+            narrow = min(len(one), width)
+            mine = folded(np.frombuffer(one, np.uint8)[None, :], narrow)
+            differ = np.bitwise_count(mine ^ folded(maps[take], narrow)).sum(axis=1, dtype=np.int64)
+            take = take[may_link(differ, n + size[take], percent)]
+            found.append(pd.DataFrame({"x": np.minimum(name, names[take]), "y": np.maximum(name, names[take])}))
     return pd.concat(found) if found else pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
 
 
@@ -297,7 +376,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         down = large.where("x > y").groupBy("x").agg(F.min("y").alias("m"))
         small = large.where("x > y").join(down, "x")
         small = small.select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(down.select("x", F.col("m").alias("y"))).where("x > y").distinct()
-        edges = scratch.keep(small)
+        before, edges = edges, scratch.keep(small)
+        scratch.drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("x").alias("id"), F.col("y").alias("c"))
@@ -313,29 +393,28 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     rows = scratch.keep(prefixes(texts, counts, words, percent))
     known = rows.where("id IS NOT NULL AND n > 0")
     same = scratch.keep(known.groupBy("a", "b").agg(F.min("id").alias("rep")))
-    nodes = known.join(same.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    nodes = without_copies(known, same)
     marks = known.select("id", "n", "parity")
-    # level: the least k for which the shingle belongs to the prefix.
-    entries = nodes.select("id", "one", "matches", F.posexplode("tokens").alias("pos", "token"))
-    entries = entries.select("token", "id", F.greatest(F.lit(1), F.col("pos") - F.col("one") + 2).cast("short").alias("level"), F.col("matches").cast("short").alias("matches"))
-    heads = entries.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
-    near = scratch.keep(entries.join(heads, "token"))
+    heads = scratch.keep(entries(nodes).groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
+    near = scratch.keep(entries(nodes, wanted_bits(heads.select("token"))).join(heads, "token"))
     stars = near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
     stars = scratch.keep(bounded(stars, marks, percent))
     ends = lambda p: p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id")))
     sets = scratch.keep(wanted_sets(texts, ends(stars), words))
     linked = scratch.keep(verified(stars, sets, percent))
+    scratch.drop(heads, stars, sets)
     joined = components(linked, scratch)
 
     placed = near.join(joined, "id", "left").select("token", "id", "level", "matches", F.coalesce("c", "id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
     cross = scratch.keep(placed.join(mixed, "token"))
+    scratch.drop(near, joined)
 
     few = cross.where(F.col("size") <= SMALL)
     one = few.select("token", F.col("id").alias("x"), F.col("level").alias("lx"), F.col("matches").alias("mx"), F.col("c").alias("cx"))
     two = few.select("token", F.col("id").alias("y"), F.col("level").alias("ly"), F.col("matches").alias("my"), F.col("c").alias("cy"))
     met = one.join(two, "token").where("x < y AND cx <> cy AND lx <= least(mx, my) AND ly <= least(mx, my)")
-    pairs = met.groupBy("x", "y").agg(F.countDistinct("token").alias("n"), F.min(F.least("mx", "my")).alias("k")).where("n >= k").select("x", "y")
+    pairs = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("k")).where("n >= k").select("x", "y")
 
     many = cross.where(F.col("size") > SMALL)
     firsts = many.groupBy("id").agg(F.min("token").alias("first"))
@@ -349,7 +428,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
 
     left = scratch.keep(bounded(pairs, marks, percent).unionByName(more.distinct()).distinct())
     sets = scratch.keep(wanted_sets(texts, ends(left), words))
-    found = verified(left, sets, percent)
+    found = scratch.keep(verified(left, sets, percent))
+    scratch.drop(cross, left, sets)
     final = components(linked.unionByName(found), scratch)
     of_set = same.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", F.coalesce("c", "rep").alias("c"))
     out = rows.where("n > 0").select("id", "n", "a", "b").join(of_set, ["a", "b"], "left").select("id", "n", "c")
@@ -362,9 +442,23 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat an id, all or none; null ids stay."""
     found = classes(docs, words, percent, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    # A table of known size: Catalyst broadcasts it if it is small, and else shuffles both sides.
+    gone = Scratch(docs.sparkSession, "ngramjoin").keep(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's join: four words, 85 %."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=4, percent=85)
+
+
+SQL = """
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS sh FROM split),
+listed AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * common >= 85 * (m + n - common)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, len(sh) AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = sets.doc_id) AS component_id FROM sets
+"""
