@@ -79,10 +79,10 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete kept tables that no later step reads."""
+        """Delete kept tables that no later step reads; all of them if none is named."""
         jvm = self.spark.sparkContext._jvm
         for k, (table, path) in list(self.paths.items()):
-            if table is not None and any(table is t for t in tables):
+            if table is not None and (not tables or any(table is t for t in tables)):
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
                 self.paths[k] = (None, path)

@@ -19,9 +19,9 @@ are left: at shingles with up to ``SMALL`` nodes they are listed, counted and cu
 by the required matches; at larger ones, blocks of nodes meet in one task each.
 There, a pair is taken up at the first large shingle of one of its texts, not
 again at every other.  All candidates pass a bound first: each text has a bitmap
-of the parities of its shingles' slots, two bitmaps differ in no more bits than
-the sets in shingles, so n + n' less that number is at least twice what is
-shared.  What the bound leaves is verified on whole sets; no pair is lost.
+of the parities of its shingles' slots, about one slot for each shingle (a longer
+one is folded to compare it); two bitmaps differ in no more bits than the sets in
+shingles, so n + n' less that number is at least twice what is shared.  What the bound leaves is verified on whole sets; no pair is lost.
 
 The components are found by alternating large-star and small-star steps on
 tables in the shared folder.  To the driver come only the slot counts and bit
@@ -56,6 +56,7 @@ MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
 SMALL = 128
 BLOCK = 512
+CHUNK = 1 << 19  # bytes of text taken at a time
 PARITY_BITS = (512, 1 << 16)  # of a bitmap: about one for each shingle, within these bounds
 _LOW = B.lowered_table(bytes([32, 9, 10, 11, 12, 13]))
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -141,7 +142,7 @@ def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, waiting, n = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
         for batch in batches:
-            for _, _, data, off in B.chunks(*B.string_buffers(batch.column(0))):
+            for _, _, data, off in B.chunks(*B.string_buffers(batch.column(0)), CHUNK):
                 h, _ = shingles(data, off, words)
                 waiting.append((h >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
                 n += len(h)
@@ -178,7 +179,7 @@ def parities(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     out = np.empty(len(n), object)
     for bits in np.unique(size):
         of = np.flatnonzero(size == bits)
-        step = max(1, (1 << 21) // int(bits))
+        step = max(1, (1 << 19) // int(bits))
         for at in range(0, len(of), step):
             rows = of[at : at + step]
             picked = np.concatenate([h[bounds[r] : bounds[r + 1]] for r in rows])
@@ -221,7 +222,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
         seen = held.value
         for batch in batches:
             ids = batch.column(0)
-            for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1))):
+            for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1)), CHUNK):
                 h, bounds = shingles(data, off, words)
                 n = np.diff(bounds)
                 mixed = B.mix64(h + np.uint64(_ODD[5]))
@@ -300,7 +301,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marked(batch.column(0).to_numpy(), bits.value)))
-            for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1))):
+            for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1)), CHUNK):
                 h, bounds = shingles(data, off, words)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), sets], names=["id", "set"])
@@ -384,16 +385,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         state = now
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of ``docs``; ids are integers."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngramjoin")
+    scratch = scratch or Scratch(docs.sparkSession, "ngramjoin")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = slot_counts(texts.select("text"), words)
     rows = scratch.keep(prefixes(texts, counts, words, percent))
     known = rows.where("id IS NOT NULL AND n > 0")
     same = scratch.keep(known.groupBy("a", "b").agg(F.min("id").alias("rep")))
-    nodes = without_copies(known, same)
+    nodes = scratch.keep(without_copies(known, same))  # kept also to have one Python worker a task in each step, not two
     marks = known.select("id", "n", "parity")
     heads = scratch.keep(entries(nodes).groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
     near = scratch.keep(entries(nodes, wanted_bits(heads.select("token"))).join(heads, "token"))
@@ -402,7 +402,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     ends = lambda p: p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id")))
     sets = scratch.keep(wanted_sets(texts, ends(stars), words))
     linked = scratch.keep(verified(stars, sets, percent))
-    scratch.drop(heads, stars, sets)
+    scratch.drop(nodes, heads, stars, sets)
     joined = components(linked, scratch)
 
     placed = near.join(joined, "id", "left").select("token", "id", "level", "matches", F.coalesce("c", "id").alias("c"))
@@ -440,10 +440,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class; of rows that repeat an id, all or none; null ids stay."""
-    found = classes(docs, words, percent, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "ngramjoin")
+    found = classes(docs, words, percent, id_col, text_col, scratch)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     # A table of known size: Catalyst broadcasts it if it is small, and else shuffles both sides.
     gone = Scratch(docs.sparkSession, "ngramjoin").keep(gone)
+    scratch.drop()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
