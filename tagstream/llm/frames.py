@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -11,6 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+def release() -> None:
+    """Give the memory a finished task has freed back to the system: Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 Kernel = Callable[..., Sequence[pa.Array]]
 
 
@@ -46,6 +57,12 @@ def append_columns(df: DataFrame, inputs: Sequence[str], outputs: T.StructType,
             made = kernel(*batch.columns[n_keep:])
             made = [a if a.type == kind else a.cast(kind) for a, kind in zip(made, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=[f.name for f in fields])
+            del made, batch
+        if done := getattr(kernel, "done", None):
+            done()
+        del kernel
+        gc.collect()
+        release()
 
     out = picked.mapInArrow(run, T.StructType(fields))
     return out.toDF(*[df.columns[i] for i in keep], *[f.name for f in outputs])

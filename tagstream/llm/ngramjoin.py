@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .frames import Scratch
+from .frames import Scratch, release
 
 WORDS = 5
 PERCENT = 80
@@ -152,6 +152,8 @@ def slot_counts(texts: DataFrame, words: int) -> np.ndarray:
         if waiting:
             table += np.bincount(np.concatenate(waiting), minlength=len(table)).astype(np.uint32)
         yield from in_blocks(table)
+        del table, waiting
+        release()
 
     return gathered(texts.mapInArrow(run, TABLE), 1 << SLOT_BITS, np.add)
 
@@ -251,6 +253,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     [ids.slice(first, end - first), *(pa.array(v) for v in (n, a, b, one, matches)), tokens, maps],
                     names=["id", "n", "a", "b", "one", "matches", "tokens", "parity"],
                 )
+        release()
 
     return docs.mapInArrow(run, "id long, n long, a long, b long, one long, matches long, tokens array<long>, parity binary")
 
@@ -275,6 +278,7 @@ def entries(nodes: DataFrame, shared: np.ndarray | None = None) -> DataFrame:
                 use = marked(tokens, bits.value)
                 tokens, row, level = tokens[use], row[use], level[use]
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids[row]), pa.array(level.astype(np.int16)), pa.array(matches[row].astype(np.int16))], names=["token", "id", "level", "matches"])
+        release()
 
     return nodes.select("id", "one", "matches", "tokens").mapInArrow(run, "token long, id long, level short, matches short")
 

@@ -326,6 +326,7 @@ def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", mod
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts)))
             return [lists.cast(kind), pa.array(np.diff(ends)), pa.array(np.concatenate(same))]
 
+        kernel.done = lattice.forget
         return kernel
 
     from pyspark.sql.pandas.types import to_arrow_type
