@@ -17,8 +17,10 @@ at one prefix shingle are first compared with the smallest of them only; what
 links there is one component.  Afterwards only pairs of different components
 are left: at shingles with up to ``SMALL`` nodes they are listed, counted and cut
 by the required matches; at larger ones, blocks of nodes meet in one task each.
-There, a pair is taken up at the first large shingle of one of its texts, not
-again at every other.  All candidates pass a bound first: each text has a bitmap
+There, the texts that also hold one common smaller large shingle, the most usual
+one among the first and the last before it, are not compared with each other: they
+meet at that one.  So each pair that shares large shingles meets at the smallest of
+them at the latest, however few small ones it shares.  All candidates pass a bound first: each text has a bitmap
 of the parities of its shingles' slots, about one slot for each shingle (a longer
 one is folded to compare it); two bitmaps differ in no more bits than the sets in
 shingles, so n + n' less that number is at least twice what is shared.  What the bound leaves is verified on whole sets; no pair is lost.
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -421,8 +423,11 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     pairs = met.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.least("mx", "my")).alias("k")).where("n >= k").select("x", "y")
 
     many = cross.where(F.col("size") > SMALL)
-    firsts = many.groupBy("id").agg(F.min("token").alias("first"))
-    many = many.join(firsts, "id").withColumn("new", F.col("first") == F.col("token"))
+    along = Window.partitionBy("id").orderBy("token")
+    many = many.withColumn("before", F.filter(F.array(F.first("token").over(along), F.lag("token").over(along)), lambda t: t < F.col("token")))
+    usual = many.select("token", F.explode(F.array_distinct("before")).alias("t")).groupBy("token", "t").agg(F.count("*").alias("n"))
+    usual = usual.groupBy("token").agg(F.max(F.struct("n", "t"))["t"].alias("usual"))
+    many = many.join(usual, "token", "left").withColumn("new", ~F.coalesce(F.array_contains("before", F.col("usual")), F.lit(False)))
     news = many.groupBy("token").agg(F.sum(F.col("new").cast("long")).alias("fresh")).where("fresh > 0")
     many = many.join(news, "token").withColumn("i", F.pmod(F.xxhash64("id"), F.ceil(F.col("fresh") / BLOCK))).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / BLOCK)))
     fresh = many.where("new").select("token", "id", "c", F.col("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)).alias("j"), F.lit(0).alias("side"))

@@ -76,6 +76,22 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, smal
         assert r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == len(sets[r["doc_id"]][0])
 
 
+@pytest.mark.parametrize("small", [1, 2])
+def test_ngram_join_pairs_whose_own_first_large_shingles_differ(spark, monkeypatch, small):
+    """x and y link; each also shares shingles with texts of its own, and what they have in common is headed by other texts."""
+    monkeypatch.setattr(ngramjoin, "SMALL", small)
+    monkeypatch.setattr(ngramjoin, "BLOCK", 2)
+    rows = []
+    for k in range(12):
+        part = lambda name, n: [f"{name}{k}w{i}" for i in range(n)]
+        base, one, two = part("base", 70), part("one", 5), part("two", 5)
+        texts = [w[i : i + 4] for w in (base, one, two) for i in range(len(w) - 3)] + [base + one, base + two]
+        rows += [(100 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    want = brute_classes(rows, 4, 85)
+    assert got == want and all(want[100 * k + 72] == 100 * k + 71 for k in range(12))
+
+
 def test_ngram_join_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e F", "x"), (4, "A b c d e F", "x"), (5, "other words stand here now", "x"), (5, "a b c d e f", "x"), (6, "long " * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
