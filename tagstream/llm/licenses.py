@@ -2,7 +2,8 @@
 
 A text is brought to words: A-Z in lower case, and runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with one space between them.  Texts without
-any keyword are done.  In the others, the rules whose own keyword occurs are run;
+any keyword are done.  In the others, the rules are run of which a keyword, a string in all
+that an alternative matches, occurs;
 each match is an interval of word positions with the rule's label and priority
 (0 first).  Detections are taken by start, longest first, then by priority; one
 that lies inside an earlier one of the same or a better priority is suppressed.
@@ -21,6 +22,7 @@ shuffle, so repeated rows, null ids and extra columns need no care.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,13 +163,33 @@ _SPLIT_GATE = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A
 PRIORITIES = 4
 
 
-def rules() -> list[tuple[str, str, str, str, int, float]]:
-    """(keyword, second keyword, pattern, label, priority, confidence) of all rules in order; keywords begin a word."""
+def literals(pattern: str) -> list[str]:
+    """For each alternative of a pattern, a string that stands in all that it matches."""
+    depth, alternatives = 0, [""]
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    out = []
+    for alternative in alternatives:
+        plain = alternative
+        while plain != (plain := re.sub(r"\([^()]*\)\??", "\n", plain)):
+            pass
+        plain = re.sub(r"\[[^]]*\]\??|\.\{[^}]*\}\??|[^\n]\?", "\n", plain)
+        longest = max(plain.split("\n"), key=len)
+        out += [longest] if longest.strip() else literals(re.fullmatch(r"\(\?:(.*)\)", alternative)[1])
+    return out
+
+
+def rules() -> list[tuple[str, tuple[str, ...], str, str, int, float]]:
+    """(string in all matches, strings of which one is in each match, pattern, label, priority, confidence) of all rules in order."""
     out = []
     for first, form, priority, sure in FORMS:
-        for label, (keyword, name, spdx) in NAMES.items():
-            out.append((first, spdx.split()[0] if first == "spdx" else keyword, form.format(name=name, id=spdx), label, priority, sure))
-    return [*out, *((keyword, "", *rest) for keyword, *rest in TEXTS)]
+        for label, (_, name, spdx) in NAMES.items():
+            out.append((first, tuple(literals(spdx if first == "spdx" else name)), form.format(name=name, id=spdx), label, priority, sure))
+    return [*out, *(("", tuple(literals(pattern)), pattern, *rest) for _, pattern, *rest in TEXTS)]
 
 
 def spaces(text: Column) -> Column:
@@ -225,18 +247,18 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gate = gate | (low.contains("cc") & text.rlike(_SPLIT_GATE))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.when(gate, F.translate(F.col(hold + "_norm"), upper, upper.lower()))
-    by_keyword: dict[str, list[dict]] = {}
-    for first, second, pattern, label, priority, sure in rules():
-        by_keyword.setdefault(" " + (second or first), []).append({"also": " " + first, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
-    shape = "array<struct<keyword:string,rules:array<struct<also:string,pattern:string,label:string,priority:int,sure:double>>>>"
-    book = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": r} for k, r in by_keyword.items()])), shape)  # a constant of the plan
+    by_keyword: dict[tuple[str, ...], list[dict]] = {}
+    for first, keywords, pattern, label, priority, sure in rules():
+        by_keyword.setdefault(keywords, []).append({"also": first, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
+    shape = "array<struct<keywords:array<string>,rules:array<struct<also:string,pattern:string,label:string,priority:int,sure:double>>>>"
+    book = F.from_json(F.lit(json.dumps([{"keywords": k, "rules": r} for k, r in by_keyword.items()])), shape)  # a constant of the plan
     out = docs.withColumns({hold + "_low": F.lower(text), hold + "_norm": F.trim(F.regexp_replace(text, OTHER, " "))})
     count = F.when(F.col(hold + "_norm") == "", F.lit(0)).otherwise(spaces(F.col(hold + "_norm")) + 1).cast("long")
     out = out.withColumns({hold + "_n": count, hold: words})
     out = out.withColumn(hold + "_spaced", F.concat(F.lit(" "), F.col(hold)))
     count, held = F.col(hold + "_n"), F.col(hold)
     spaced = F.col(hold + "_spaced")
-    wanted = F.flatten(F.transform(F.filter(book, lambda b: F.contains(spaced, b["keyword"])), lambda b: b["rules"]))
+    wanted = F.flatten(F.transform(F.filter(book, lambda b: F.exists(b["keywords"], lambda k: F.contains(spaced, k))), lambda b: b["rules"]))
     wanted = F.filter(wanted, lambda r: F.contains(spaced, r["also"]))
     found = F.flatten(F.transform(wanted, lambda r: detections(held, r)))
     out = out.withColumn(hold + "_scan", F.when(held.isNotNull(), survivors(found)))

@@ -142,6 +142,55 @@ def test_license_labels(spark, edges):
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def samples(pattern):
+    """A shortest text for each alternative of a pattern."""
+
+    def walk(tree):
+        out = [""]
+        for op, value in tree:
+            name = str(op)
+            if name == "LITERAL":
+                made = [chr(value)]
+            elif name == "ANY":
+                made = ["x"]
+            elif name == "IN":
+                made = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+            elif name == "BRANCH":
+                made = [t for part in value[1] for t in walk(part)]
+            elif name == "SUBPATTERN":
+                made = walk(value[3])
+            else:
+                made = [t * value[0] for t in walk(value[2])[:1]]
+            out = [a + b for a in out for b in made]
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_every_alternative():
+    for first, keywords, pattern, *_ in licenses.rules():
+        for text in samples(pattern):
+            assert first in text and any(k in text for k in keywords), (pattern, text)
+
+
+ALTERNATIVES = [
+    ("Licensed under Creative Commons Attribution ShareAlike 4.0", "cc-by-sa"),
+    ("released under CC0 1.0, see the license", "cc0"),
+    ("the Expat license", "mit"),
+    ("the FreeBSD license", "bsd-2-clause"),
+    ("the 0BSD license", "bsd-0-clause"),
+    ("the PSF License license", "python-2"),
+    ("licensed under do what the fuck you want to public license", "wtfpl"),
+    ("licensed under GNU GPL v1", "gpl-1"),
+]
+
+
+def test_license_alternatives(spark):
+    rows = spark.createDataFrame([(t, want) for t, want in ALTERNATIVES], "text string, want string")
+    for r in licenses.scan(rows).collect():
+        assert r["want"] in r["labels"].split(","), (r["text"], r["labels"])
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
