@@ -157,9 +157,6 @@ TEXTS = (
 
 #: What stands between the contract's words, before A-Z are in lower case.
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text without any of these has no base phrase and meets no rule.
-GATE = ("licen", "apache", "gpl", "creative", "domain", "reserved", "proprietary", "unencumbered", "permission is hereby", "redistribution", "warranty", "later version", "spdx", "commons", "cc0", "wtfpl", "beerware", "beer ware")
-_SPLIT_GATE = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 PRIORITIES = 4
 
 
@@ -192,6 +189,11 @@ def rules() -> list[tuple[str, tuple[str, ...], str, str, int, float]]:
     return [*out, *(("", tuple(literals(pattern)), pattern, *rest) for _, pattern, *rest in TEXTS)]
 
 
+def gate() -> list[str]:
+    """A text whose words hold none of these has no base phrase and meets no rule."""
+    return sorted({k for _, keywords, *_ in rules() for k in keywords} | {phrase for phrase, _ in BASE})
+
+
 def spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
@@ -241,18 +243,16 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         hold += "_"
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.col(hold + "_low")  # a column of its own: inside the conditions it would be computed for each of them
-    gate = F.lit(False)
-    for word in GATE:
-        gate = gate | low.contains(word)
-    gate = gate | (low.contains("cc") & text.rlike(_SPLIT_GATE))
+    held_words = F.from_json(F.lit(json.dumps(gate())), "array<string>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.when(gate, F.translate(F.col(hold + "_norm"), upper, upper.lower()))
+    words = F.when(F.exists(held_words, lambda k: F.contains(low, k)), F.translate(F.col(hold + "_norm"), upper, upper.lower()))
     by_keyword: dict[tuple[str, ...], list[dict]] = {}
     for first, keywords, pattern, label, priority, sure in rules():
         by_keyword.setdefault(keywords, []).append({"also": first, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
     shape = "array<struct<keywords:array<string>,rules:array<struct<also:string,pattern:string,label:string,priority:int,sure:double>>>>"
     book = F.from_json(F.lit(json.dumps([{"keywords": k, "rules": r} for k, r in by_keyword.items()])), shape)  # a constant of the plan
-    out = docs.withColumns({hold + "_low": F.lower(text), hold + "_norm": F.trim(F.regexp_replace(text, OTHER, " "))})
+    out = docs.withColumn(hold + "_norm", F.trim(F.regexp_replace(text, OTHER, " ")))
+    out = out.withColumn(hold + "_low", F.lower(hold + "_norm"))
     count = F.when(F.col(hold + "_norm") == "", F.lit(0)).otherwise(spaces(F.col(hold + "_norm")) + 1).cast("long")
     out = out.withColumns({hold + "_n": count, hold: words})
     out = out.withColumn(hold + "_spaced", F.concat(F.lit(" "), F.col(hold)))

@@ -191,6 +191,14 @@ def test_license_alternatives(spark):
         assert r["want"] in r["labels"].split(","), (r["text"], r["labels"])
 
 
+def test_license_gate_passes_every_rule(spark):
+    texts = [(t,) for _, _, pattern, *_ in licenses.rules() for t in samples(pattern)]
+    texts += [("released under the 3-clause BSD",), ("distributed under the ISC",), ("released under the MIT",), ("https://www.mozilla.org/MPL/2.0/",), ("Neither the name of X nor the names of its contributors may be used to endorse or promote products",)]
+    missed = licenses.scan(spark.createDataFrame(texts, "text string")).where("labels = ''")
+    assert [r["text"] for r in missed.collect()] == []
+    assert all(any(k in t for k in licenses.gate()) for _, _, pattern, *_ in licenses.rules() for t in samples(pattern))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
