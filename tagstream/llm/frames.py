@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    A batch is held several times over, in the JVM and in the worker, as input and as output.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Give the memory a finished task has freed back to the system: Python workers stay for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -42,6 +55,7 @@ def append_columns(df: DataFrame, inputs: Sequence[str], outputs: T.StructType,
     ``withColumn``, an output replaces an input column of the same name; all
     other columns, whatever their names, pass through unchanged.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in outputs}
     keep = [i for i, c in enumerate(df.columns) if c.lower() not in new]
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -69,23 +83,33 @@ def append_columns(df: DataFrame, inputs: Sequence[str], outputs: T.StructType,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set here only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset, a folder of this machine on a local master, as in tests, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             folder = "file:///tmp/tagstream-checkpoints"
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written in the shared folder, which any executor can read again after one is lost."""
+    """Tables written in the shared folder, which any executor can read again after one is lost; what is not dropped goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+        small_batches(spark)
+        root = self.at(self.root)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+
+    def at(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again: the plan before it is cut off."""
@@ -97,9 +121,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete kept tables that no later step reads; all of them if none is named."""
-        jvm = self.spark.sparkContext._jvm
         for k, (table, path) in list(self.paths.items()):
             if table is not None and (not tables or any(table is t for t in tables)):
-                at = jvm.org.apache.hadoop.fs.Path(path)
+                at = self.at(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
                 self.paths[k] = (None, path)

@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .frames import append_columns
+from .frames import Scratch, append_columns, small_batches
 
 HASHES = 3
 MIN_SHARE = 2e-5
 BITS_EACH = 16  # filter bits for each 4-gram a language may hold
-MERGE_AT = 4_000_000
+MERGE_AT = 1 << 20
 WORD = 64  # languages in one table
+MOST_LANGUAGES = 4096  # more distinct values than this are no languages: an error, as the model is held by each worker
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 _FORM = np.full(256, 32, dtype=np.uint8)
@@ -189,19 +190,22 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_share: float = MIN_SHARE) -> Model:
     """Learn from all rows of ``docs`` that have a text and a language."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A window over a language would put it in one task: totals are a second, small aggregate.
-    counted = counted.persist()
-    try:
-        sizes = {r["lang"]: int(r["n"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, n * min_share))]) if sizes else None
-        sets: dict[str, np.ndarray] = {}
-        if sizes:
-            kept = counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
-            sets = {lang: np.sort(part.to_numpy()).astype(np.uint32) for lang, part in kept.groupby("lang")["gram"]}
-    finally:
-        counted.unpersist()
+    scratch = Scratch(docs.sparkSession, "langid")
+    counted = scratch.keep(counted)
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct values of {lang_col!r}: these are no languages")
+    sizes = {r["lang"]: int(r["n"]) for r in totals}
+    sets: dict[str, np.ndarray] = {}
+    if sizes:
+        least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1.0, n * min_share))])
+        kept = counted.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
+        sets = {lang: np.sort(part.to_numpy()).astype(np.uint32) for lang, part in kept.groupby("lang")["gram"]}
+    scratch.drop()
     return Model.build(sets, sizes)
 
 

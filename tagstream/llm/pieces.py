@@ -44,7 +44,7 @@ SPACE = 32
 CHUNK = 1 << 19
 LINEAR = 48  # units of more bytes are filtered in logarithms
 GAIN = 60.0  # about the inverse weight of a byte, so that sums neither vanish nor overflow over LINEAR bytes
-MOST_EDGES = 2_000_000  # filtered units are kept for the next chunks of a task until they have so many edges
+MOST_EDGES = 1_000_000  # filtered units are kept for the next chunks of a task until they have so many edges
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
 
