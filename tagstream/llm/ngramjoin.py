@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,9 @@ BIT_BITS = 25  # bits that tell which ids are wanted
 BLOCK_BITS = 10  # rows in which either table travels
 MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
+HOT = 1 << 16  # entries at one shingle that a task may sort; beyond, they are combined before the shuffle
+DEAL = 400_000  # entries packed at a time
+PART_BYTES = 64 << 20  # packed entries for one task
 SMALL = 128
 BLOCK = 512
 CHUNK = 1 << 19  # bytes of text taken at a time
@@ -216,11 +220,9 @@ def may_link(differ: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     return 100 * (size - differ) >= percent * (size + differ)  # shared <= (size - differ) / 2, and either side is size - shared
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, held: Broadcast, usual: float, words: int, percent: int) -> DataFrame:
     """(id, n, a, b, one, matches, tokens, parity): set size, 128-bit signature of the set, length of the prefix for
     one match, required matches k, the prefix for k matches in the global order, and the bitmap of parities."""
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.uint64(2**31 - 1)).astype(np.int32))
-    usual = float(counts.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = held.value
@@ -265,24 +267,84 @@ def marked(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[where >> 3] >> (7 - (where & 7)) & 1).astype(bool)
 
 
-def entries(nodes: DataFrame, shared: np.ndarray | None = None) -> DataFrame:
-    """(token, id, level, matches) of every prefix shingle, or of those with a bit; level: the least k whose prefix holds it."""
-    bits = nodes.sparkSession.sparkContext.broadcast(shared)
+def entries(batches: Iterator[pa.RecordBatch], seen: np.ndarray, hot: int, often: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(token, id, level, matches) of the prefix shingles whose slot counts more than ``hot``, or of the others; level: the least k whose prefix holds it."""
+    for batch in batches:
+        ids, one, matches = (batch.column(k).to_numpy() for k in range(3))
+        tokens = batch.column(3).flatten().to_numpy()
+        count = batch.column(3).value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(ids)), count)
+        level = np.maximum(1, np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count) - one[row] + 2)
+        use = (seen[(tokens.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > hot) == often
+        yield tokens[use], ids[row[use]], level[use].astype(np.int16), matches[row[use]].astype(np.int16)
+
+
+ENTRY = "token long, id long, level short, matches short"
+_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
+_WIDE = 20  # bytes of an entry
+
+
+def meetings(nodes: DataFrame, held: Broadcast, shingled: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, id, level, matches, head) of every prefix shingle that nodes share; head: the smallest node at it.
+
+    Entries of shingles that are not ``HOT`` travel packed, some hundred to a row, and are sorted where they arrive; a slot's count
+    bounds such a group.  The others are grouped by Spark, which combines them before the shuffle.
+    """
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingled * (100 - percent) * _WIDE // (100 * PART_BYTES)))
+    fields, hot = nodes.select("id", "one", "matches", "tokens"), HOT
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def packed() -> pa.RecordBatch:
+            made = [np.concatenate(c) for c in zip(*waiting)]
+            part = ((made[0].view(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            made, part = [c[by] for c in made], part[by]
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [b"".join(c[lo:hi].tobytes() for c in made) for lo, hi in zip(cuts, np.append(cuts[1:], len(part)))]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+        for made in entries(batches, held.value, hot, False):
+            waiting.append(made)
+            n += len(made[0])
+            if n >= DEAL:
+                yield packed()
+                waiting, n = [], 0
+        if n:
+            yield packed()
+        del waiting
+        release()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, one, matches = (batch.column(k).to_numpy() for k in range(3))
-            tokens = batch.column(3).flatten().to_numpy()
-            count = batch.column(3).value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(ids)), count)
-            level = np.maximum(1, np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count) - one[row] + 2)
-            if bits.value is not None:
-                use = marked(tokens, bits.value)
-                tokens, row, level = tokens[use], row[use], level[use]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(ids[row]), pa.array(level.astype(np.int16)), pa.array(matches[row].astype(np.int16))], names=["token", "id", "level", "matches"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [b.as_buffer() for batch in batches for b in batch.column(1)]
+        sizes = [len(b) // _WIDE for b in blobs]
+        token, ids, level, matches = (np.concatenate([np.zeros(0, k), *(np.frombuffer(b, k, n, n * at) for b, n in zip(blobs, sizes))]) for k, at in ((np.int64, 0), (np.int64, 8), (np.int16, 16), (np.int16, 18)))
+        del blobs
+        by = np.lexsort((ids, token))
+        token, ids = token[by], ids[by]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(token)))
+        shared = ids[starts] != ids[starts + size - 1]
+        head = np.repeat(ids[starts], size)
+        use = np.repeat(shared, size)
+        made = [token[use], ids[use], level[by][use], matches[by][use], head[use]]
+        for at in range(0, len(made[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in made], names=[*_NAMES, "head"])
+        del made
         release()
 
-    return nodes.select("id", "one", "matches", "tokens").mapInArrow(run, "token long, id long, level short, matches short")
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in entries(batches, held.value, hot, True):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=_NAMES)
+
+    rare = fields.mapInArrow(deal, "part int, data binary").repartitionById(parts, F.col("part")).mapInArrow(meet, f"{ENTRY}, head long")
+    often = scratch.keep(fields.mapInArrow(grouped, ENTRY))
+    heads = often.groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
+    out = scratch.keep(rare.unionByName(often.join(heads, "token")))
+    scratch.drop(often)
+    return out
 
 
 def without_copies(known: DataFrame, same: DataFrame) -> DataFrame:
@@ -387,28 +449,30 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("x").alias("id"), F.col("y").alias("c"))
+            out = scratch.keep(edges.select(F.col("x").alias("id"), F.col("y").alias("c")))
+            scratch.drop(edges)
+            return out
         state = now
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of ``docs``; ids are integers."""
-    scratch = scratch or Scratch(docs.sparkSession, "ngramjoin")
+    scratch = scratch or Scratch(docs.sparkSession, "ngramjoin")  # it holds Arrow batches small, too
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counts = slot_counts(texts.select("text"), words)
-    rows = scratch.keep(prefixes(texts, counts, words, percent))
+    held = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, np.uint64(2**31 - 1)).astype(np.int32))
+    rows = scratch.keep(prefixes(texts, held, float(counts.mean()), words, percent))
     known = rows.where("id IS NOT NULL AND n > 0")
     same = scratch.keep(known.groupBy("a", "b").agg(F.min("id").alias("rep")))
     nodes = scratch.keep(without_copies(known, same))  # kept also to have one Python worker a task in each step, not two
     marks = known.select("id", "n", "parity")
-    heads = scratch.keep(entries(nodes).groupBy("token").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
-    near = scratch.keep(entries(nodes, wanted_bits(heads.select("token"))).join(heads, "token"))
+    near = meetings(nodes, held, int(counts.sum()), percent, scratch)
     stars = near.where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y")).distinct()
     stars = scratch.keep(bounded(stars, marks, percent))
     ends = lambda p: p.select(F.col("x").alias("id")).unionByName(p.select(F.col("y").alias("id")))
     sets = scratch.keep(wanted_sets(texts, ends(stars), words))
     linked = scratch.keep(verified(stars, sets, percent))
-    scratch.drop(nodes, heads, stars, sets)
+    scratch.drop(nodes, stars, sets)
     joined = components(linked, scratch)
 
     placed = near.join(joined, "id", "left").select("token", "id", "level", "matches", F.coalesce("c", "id").alias("c"))
@@ -440,11 +504,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     found = scratch.keep(verified(left, sets, percent))
     scratch.drop(cross, left, sets)
     final = components(linked.unionByName(found), scratch)
+    scratch.drop(linked, found)
     of_set = same.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("a", "b", F.coalesce("c", "rep").alias("c"))
     out = rows.where("n > 0").select("id", "n", "a", "b").join(of_set, ["a", "b"], "left").select("id", "n", "c")
     out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("c")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = scratch.keep(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")))
+    scratch.drop(rows, same, final)
+    return out
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

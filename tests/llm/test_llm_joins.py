@@ -64,8 +64,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,small,block", [(4, 85, 128, 512), (5, 80, 6, 7), (2, 60, 4, 5)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, small, block):
+@pytest.mark.parametrize("words,percent,small,block,hot", [(4, 85, 128, 512, 1 << 16), (5, 80, 6, 7, 3), (2, 60, 4, 5, 0)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, small, block, hot):
+    monkeypatch.setattr(ngramjoin, "HOT", hot)
     monkeypatch.setattr(ngramjoin, "SMALL", small)
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     rows = corpus(words)
@@ -92,6 +93,30 @@ def test_ngram_join_pairs_whose_own_first_large_shingles_differ(spark, monkeypat
     assert got == want and all(want[100 * k + 72] == 100 * k + 71 for k in range(12))
 
 
+def test_ngram_join_tells_regular_patterns_apart(spark):
+    """A polynomial hash modulo a power of two gives the two Thue-Morse words one value."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"u v w x {word}", f"u v w x {other}"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngramjoin.classes(docs, 4, 85).collect()} == {k: k for k in range(4)}
+    data = np.frombuffer(f"{word} {other} {word} {word[:64]} {other[:64]} {word[:64]}".encode(), np.uint8)
+    starts, ends, _ = ngramjoin.B.word_spans(data > 32, np.array([0, len(data)]))
+    h = ngramjoin.B.span_hashes(data, starts, ends).tolist()
+    assert h[0] == h[2] and h[3] == h[5] and len(set(h)) == 4
+
+
+def test_ngram_join_leaves_only_its_result_behind(spark):
+    from tagstream.llm.frames import Scratch
+
+    scratch = Scratch(spark, "test")
+    docs = spark.createDataFrame([(k, f"a b c d e f {k % 3}") for k in range(9)], "doc_id long, text string")
+    out = ngramjoin.classes(docs, 4, 85, scratch=scratch)
+    assert sum(table is not None for table, _ in scratch.paths.values()) == 1 and out.count() == 9
+
+
 def test_ngram_join_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e F", "x"), (4, "A b c d e F", "x"), (5, "other words stand here now", "x"), (5, "a b c d e f", "x"), (6, "long " * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
