@@ -3,34 +3,51 @@
 Base patterns, in bytes of the UTF-8 text (all their classes are ASCII), leftmost
 and non-overlapping for each kind: ``assign`` (a key word, ``:`` or ``=``, a value
 of 8 or more characters), ``access`` (``AKIA...``, 16 or more) and ``hex`` (a run
-of 32 or more).  Each text is the first item of a worklist.  An item is scanned,
-and every line of it with percent escapes or backslash escapes, every run that
-decodes as base64 to text or to compressed data, and every compressed stream
-becomes a new item, until no item is left.  An item whose bytes have been seen in
-this row already is not taken up again, so cycles (a stream that unpacks to
-itself) end.  Each layer keeps, for each byte, the bytes of the text it came
-from, so what is found inside is reported where it stands in the text.
+of 32 or more).  Each text is the first item of a worklist.  From an item come new
+ones, until none is left:
+
+- the item with its percent escapes replaced, and with its backslash escapes replaced;
+- each run of ``MIN_BASE64`` or more base64 characters, and each sequence of such runs
+  wrapped over lines, decoded from each of its first four characters on, as a path or
+  a word may stand before the encoded part;
+- each gzip, zlib, bzip2 or xz stream that begins anywhere in a decoded item, one
+  after the other.
+
+All items are scanned, whatever their bytes are.  One whose bytes have been seen at
+the same place of the text, by steps of the same kinds, is not taken up again, so cycles (a stream that unpacks
+to itself) end.  Escapes that are still there after ``LEVELS`` rounds are a chain
+(``%252525...``) and are resolved to the end in one linear pass.  Each item keeps
+the ranges that it came from, so what is found inside is reported where it stands
+in the text.
 
 Kinds of findings in a layer carry its path, such as ``access+base64`` or
-``assign+base64+gzip``.  A finding that holds no decoded byte is left to the layer
-it came from.  Positions are code points, ends exclusive.
+``assign+base64+gzip``.  A finding counts only if each step of its path decoded a part
+of it; else it is left to the layer it came from.  Positions are code points, ends
+exclusive; a finding in a stream stands where the stream does.
+
+Memory.  A stream that unpacks to more than ``WINDOW`` bytes is scanned in windows of
+that size which share ``OVERLAP`` bytes, so a bomb takes time in proportion to what it
+holds, but no more memory than a window does.  A stream inside such a stream is read to
+its own end.  Base64 runs there are decoded window by window.
 
 Defined results: null and empty texts have no findings, and the digest of the
-empty string.  Texts are read whole.  One compressed stream gives at most
-``MAX_UNPACKED`` bytes, against decompression bombs; what it gives is scanned.
-``redact`` replaces each maximal union of findings by ``[secret]`` and keeps null.
+empty string.  Texts are read whole.  A broken stream is scanned as far as it can be
+read, and stands for all behind its start; an xz stream that asks for a dictionary
+above ``XZ_MEMORY`` counts as broken.  ``redact`` replaces each maximal union of
+findings by ``[secret]`` and keeps null.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +59,36 @@ from . import bytesops as B
 from .frames import append_columns
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 32 << 20
-MIN_BASE64 = 20
+MIN_BASE64 = 19  # the shortest base finding has 14 bytes
+LEVELS = 8
+WINDOW, OVERLAP = 4 << 20, 1 << 20
+STEP = 1 << 18  # bytes that a decompressor gives at a time
+XZ_MEMORY = 128 << 20  # the largest preset asks for 65 MB
 MARK = b"[secret]"
 OUTPUT = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-_PERCENT = re.compile(rb"%([0-9A-Fa-f]{2})")
+_HEX_RUN = re.compile(rb"[0-9a-f]{32,}+")
+_SIX = rb"A-Za-z0-9+/_-"
+_RUN = re.compile(rb"[%s]{%d,}+={0,2}" % (_SIX, MIN_BASE64))
+_WRAP = re.compile(rb"[ \t]*+\r?\n[ \t]*+([%s]++)={0,2}" % _SIX)
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_PERCENT_END = re.compile(rb"%([0-9A-Fa-f]{2})\Z")
 _ESCAPE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
-_PLAIN = re.compile(rb"[\x20-\x7e\t\r\n]*\Z")
+_ESCAPE_END = re.compile(rb"(?:%s)\Z" % _ESCAPE.pattern)
+#: How compressed streams begin.
+_STREAMS = ((b"\x1f\x8b\x08", "gzip"), *((b"\x78" + level, "zlib") for level in (b"\x01", b"\x5e", b"\x9c", b"\xda")), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
+_SIGNS = (b"passw", b"secret", b"token", b"api", b"akia", b"%", b"\\", *(sign.lower() for sign, _ in _STREAMS))
 
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 _SIXTY_FOUR = np.zeros(256, dtype=bool)
 _SIXTY_FOUR[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
+_NIBBLE = np.full(256, 255, dtype=np.uint8)
+for _k, _c in enumerate(b"0123456789abcdef"):
+    _NIBBLE[[_c, ord(chr(_c).upper())]] = _k
 
 Found = list[tuple[int, int, int]]  # kind, start, end in bytes
 
@@ -75,7 +106,7 @@ def places(data: bytes, word: bytes) -> Iterator[int]:
         at = data.find(word, at + 1)
 
 
-def base_findings(data: bytes, view: np.ndarray) -> Found:
+def base_findings(data: bytes, view: np.ndarray | None = None) -> Found:
     """The base patterns' matches, by start and kind."""
     found: Found = []
     low = data.lower()
@@ -91,70 +122,131 @@ def base_findings(data: bytes, view: np.ndarray) -> Found:
             done = m.end()
             if done - at >= 16:
                 found.append((1, at, done))
-    found += [(2, int(a), int(b)) for a, b in runs(_HEX[view], 32)]
+    if view is None:
+        found += [(2, *m.span()) for m in _HEX_RUN.finditer(data)]
+    else:
+        found += [(2, int(a), int(b)) for a, b in runs(_HEX[view], 32)]
     return sorted(found, key=lambda f: (f[1], f[0]))
 
 
-def unpack(data: bytes) -> tuple[str, bytes] | None:
-    """Name and content of a compressed stream."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(data, MAX_UNPACKED)
-        if data[:1] == b"\x78" and len(data) > 6 and int.from_bytes(data[:2]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(data, MAX_UNPACKED)
-        if data[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return "xz", lzma.LZMADecompressor(memlimit=256 << 20).decompress(data, MAX_UNPACKED)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    return None
-
-
-def readable(data: bytes) -> bool:
-    if not data:
-        return False
-    if _PLAIN.match(data):
-        return True
-    try:
-        return all(c.isprintable() or c in "\t\r\n" for c in data.decode())
-    except UnicodeDecodeError:
-        return False
-
-
-def unbase64(run: bytes) -> bytes | None:
-    """What a run decodes to, if that is text or compressed."""
-    body = run.rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    head = binascii.a2b_base64(body[:16])
-    if not (head[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7") or head[:1] == b"\x78" or all(b >= 32 or b in (9, 10, 13) for b in head)):
-        return None
-    data = base64.b64decode(body + b"=" * (-len(body) % 4))
-    return data if unpack(data) or readable(data) else None
+def may_hold(data: bytes) -> bool:
+    """Whether there can be a finding or another layer in a layer."""
+    low = data.lower()
+    return any(sign in low for sign in _SIGNS) or _RUN.search(data) is not None
 
 
 class Layer:
-    """Bytes, the text bytes each of them came from, and which of them were decoded (in the first layer none)."""
-
-    __slots__ = ("data", "starts", "ends", "decoded", "path")
-
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, decoded: np.ndarray, path: str) -> None:
-        self.data, self.starts, self.ends, self.decoded, self.path = data, starts, ends, decoded, path
-
-
-def substituted(layer: Layer, a: int, b: int, matches: list[re.Match], values: list[bytes], path: str) -> Layer:
-    """The part a:b of a layer with each match replaced by its decoded value."""
-    parts, starts, ends, decoded, done = [], [], [], [], a
-    for m, value in zip(matches, values):
-        s, e = m.span()
-        parts += [layer.data[done:s], value]
-        starts += [layer.starts[done:s], np.full(len(value), layer.starts[s])]
-        ends += [layer.ends[done:s], np.full(len(value), layer.ends[e - 1])]
-        decoded += [np.zeros(s - done, bool), np.ones(len(value), bool)]
-        done = e
-    parts.append(layer.data[done:b])
-    return Layer(b"".join(parts), np.concatenate([*starts, layer.starts[done:b]]), np.concatenate([*ends, layer.ends[done:b]]), np.concatenate([*decoded, np.zeros(b - done, bool)]), path)
+    """Decoded bytes.  ``source`` gives the range of the parent that a range came from, or None if nothing in it was decoded by the last step.
+
+    ``more`` gives what follows the data, where they are a window; streams that begin before ``until`` have been dealt with.
+    """
+
+    __slots__ = ("data", "path", "parent", "source", "more", "until")
+
+    def __init__(self, data: bytes, path: str = "", parent: Layer | None = None, source: Callable[[int, int], tuple[int, int] | None] | None = None, more: Callable[[], Iterator[bytes]] | None = None, until: int = 0) -> None:
+        self.data, self.path, self.parent, self.source, self.more, self.until = data, path, parent, source, more, until
+
+    def outward(self, a: int, b: int) -> tuple[int, int] | None:
+        """The range of the first layer that a range came from; None if a step of the path decoded nothing of it."""
+        layer = self
+        while layer.parent is not None:
+            got = layer.source(a, b)
+            if got is None:
+                return None
+            (a, b), layer = got, layer.parent
+        return a, b
+
+
+class Unpacked:
+    """What a compressed stream holds, in blocks; afterwards how many bytes of the input it took, and whether it ended well."""
+
+    def __init__(self, name: str, source: Iterator[bytes]) -> None:
+        self.name, self.source, self.taken, self.ended, self.broken = name, source, 0, False, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        try:
+            if self.name in ("gzip", "zlib"):
+                yield from self.deflated(zlib.decompressobj(31 if self.name == "gzip" else 15))
+            else:
+                yield from self.others(bz2.BZ2Decompressor() if self.name == "bzip2" else lzma.LZMADecompressor(memlimit=XZ_MEMORY))
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, MemoryError):
+            self.broken = True
+
+    def pieces(self) -> Iterator[bytes]:
+        for block in self.source:
+            for at in range(0, len(block), STEP):
+                piece = block[at : at + STEP]
+                self.taken += len(piece)
+                yield piece
+
+    def deflated(self, d) -> Iterator[bytes]:
+        for piece in self.pieces():
+            while piece and not d.eof:
+                if out := d.decompress(piece, STEP):
+                    yield out
+                piece = d.unconsumed_tail
+            while not d.eof and (out := d.decompress(b"", STEP)):
+                yield out
+            if d.eof:
+                self.taken, self.ended = self.taken - len(d.unused_data), True
+                return
+
+    def others(self, d) -> Iterator[bytes]:
+        for piece in self.pieces():
+            out = d.decompress(piece, STEP)
+            while True:
+                if out:
+                    yield out
+                if d.eof or d.needs_input:
+                    break
+                out = d.decompress(b"", STEP)
+            if d.eof:
+                self.taken, self.ended = self.taken - len(d.unused_data), True
+                return
+
+
+def replaced(layer: Layer, at: np.ndarray, ends: np.ndarray, sizes: np.ndarray, values: np.ndarray, path: str) -> Layer:
+    """A layer with ranges replaced by values (their bytes one after the other, their sizes)."""
+    view = np.frombuffer(layer.data, np.uint8)
+    gone = ends - at
+    out_at = at - (np.cumsum(gone) - gone) + (np.cumsum(sizes) - sizes)
+    keep = np.ones(len(view), bool)
+    keep[np.repeat(at - (np.cumsum(gone) - gone), gone) + np.arange(int(gone.sum()))] = False
+    own = np.ones(len(view) - int(gone.sum()) + int(sizes.sum()), bool)
+    own[np.repeat(out_at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = False
+    out = np.empty(len(own), np.uint8)
+    out[own], out[~own] = view[keep], values
+
+    def source(a: int, b: int) -> tuple[int, int] | None:
+        first, last = (int(np.searchsorted(out_at, x, side="right")) - 1 for x in (a, b - 1))
+        into = first >= 0 and a < out_at[first] + sizes[first]
+        if first == last and not into:
+            return None
+        start = at[first] if into else a if first < 0 else ends[first] + a - out_at[first] - sizes[first]
+        end = ends[last] if b - 1 < out_at[last] + sizes[last] else ends[last] + b - out_at[last] - sizes[last]
+        return int(start), int(end)
+
+    return Layer(out.tobytes(), path, layer, source)
+
+
+def settled(layer: Layer, ending: re.Pattern, value: Callable[[re.Match], bytes], path: str) -> Layer:
+    """A layer with all escapes resolved, and those that come about by it, from left to right on a stack."""
+    out, low, high, made = bytearray(), array("q"), array("q"), bytearray()
+    closes = frozenset(b"0123456789abcdefABCDEF}")
+    for i, c in enumerate(layer.data):
+        out.append(c)
+        low.append(i)
+        high.append(i + 1)
+        made.append(0)
+        while out and out[-1] in closes and (m := ending.search(out, max(0, len(out) - 10))):
+            at, got = m.start(), value(m)
+            a, b = low[at], high[-1]
+            del m, out[at:], low[at:], high[at:], made[at:]
+            out += got
+            low.extend([a] * len(got))
+            high.extend([b] * len(got))
+            made += b"\1" * len(got)
+    return Layer(bytes(out), path, layer, lambda a, b: (low[a], high[b - 1]) if any(made[a:b]) else None)
 
 
 def escaped(m: re.Match) -> bytes:
@@ -164,63 +256,197 @@ def escaped(m: re.Match) -> bytes:
     return chr(code).encode("utf-8", "replace") if code < 0x110000 else b"?"
 
 
-def lines_with(data: bytes, pattern: re.Pattern, sign: bytes) -> Iterator[tuple[int, int, list[re.Match]]]:
-    """Each line that has matches."""
-    if sign not in data:
-        return
-    found = list(pattern.finditer(data))
-    i = 0
-    while i < len(found):
-        a = data.rfind(b"\n", 0, found[i].start()) + 1
-        b = data.find(b"\n", found[i].end())
-        b = len(data) if b < 0 else b
-        j = i
-        while j < len(found) and found[j].start() < b:
-            j += 1
-        yield a, b, found[i:j]
-        i = j
-
-
-def within(layer: Layer) -> Iterator[Layer]:
-    """The layers directly inside a layer."""
-    data, view = layer.data, np.frombuffer(layer.data, np.uint8)
-    for a, b, found in lines_with(data, _PERCENT, b"%"):
-        yield substituted(layer, a, b, found, [bytes([int(m[1], 16)]) for m in found], layer.path + "+url")
-    for a, b, found in lines_with(data, _ESCAPE, b"\\"):
-        yield substituted(layer, a, b, found, [escaped(m) for m in found], layer.path + "+unicode")
-    for a, b in runs(_SIXTY_FOUR[view], MIN_BASE64):
-        while b < len(data) and data[b] == 61:
-            b += 1
-        got = unbase64(data[a:b])
-        if got is not None:
-            group = a + np.arange(len(got)) // 3 * 4
-            yield Layer(got, layer.starts[group], layer.ends[np.minimum(group + 3, b - 1)], np.ones(len(got), bool), layer.path + "+base64")
-    if (packed := unpack(data)) and packed[1]:
-        name, got = packed
-        yield Layer(got, np.full(len(got), layer.starts[0]), np.full(len(got), layer.ends[-1]), np.ones(len(got), bool), layer.path + "+" + name)
-
-
-def may_hold_layers(data: bytes, view: np.ndarray) -> bool:
-    return (b"%" in data and _PERCENT.search(data) is not None) or (b"\\" in data and _ESCAPE.search(data) is not None) or len(runs(_SIXTY_FOUR[view], MIN_BASE64)) > 0 or unpack(data) is not None
+def deep(path: str, step: str) -> bool:
+    return path.endswith(step * LEVELS)
+
+
+def percent_layer(layer: Layer) -> Layer | None:
+    if b"%" not in layer.data:
+        return None
+    view = np.frombuffer(layer.data, np.uint8)
+    at = np.flatnonzero(view[:-2] == 37)
+    high, low = _NIBBLE[view[at + 1]], _NIBBLE[view[at + 2]]
+    good = (high < 16) & (low < 16)
+    if not good.any():
+        return None
+    if deep(layer.path, "+url"):
+        return settled(layer, _PERCENT_END, lambda m: bytes([int(m[1], 16)]), layer.path + "+url")
+    at = at[good]
+    return replaced(layer, at, at + 3, np.ones(len(at), np.int64), high[good] << 4 | low[good], layer.path + "+url")
+
+
+def escape_layer(layer: Layer) -> Layer | None:
+    if b"\\" not in layer.data:
+        return None
+    at, ends, sizes, values = array("q"), array("q"), array("q"), bytearray()
+    for m in _ESCAPE.finditer(layer.data):
+        got = escaped(m)
+        at.append(m.start())
+        ends.append(m.end())
+        sizes.append(len(got))
+        values += got
+    if not at:
+        return None
+    if deep(layer.path, "+unicode"):
+        return settled(layer, _ESCAPE_END, escaped, layer.path + "+unicode")
+    return replaced(layer, *(np.array(x, np.int64) for x in (at, ends, sizes)), np.frombuffer(bytes(values), np.uint8), layer.path + "+unicode")
+
+
+def encoded_runs(layer: Layer) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
+    """Start, characters and, for sequences wrapped over lines, places of all runs that may be base64."""
+    data, end, open_ = layer.data, -1, []
+
+    def sequence(pieces: list[tuple[int, int]]) -> tuple[int, bytes, np.ndarray]:
+        places = np.concatenate([np.arange(a, b) for a, b in pieces])
+        return pieces[0][0], b"".join(data[a:b] for a, b in pieces), places
+
+    for m in _RUN.finditer(data):
+        a, b = m.span()
+        if layer.parent is None or layer.source(a, b) is not None:
+            yield a, m[0], None
+        if a != end:  # it does not go on from the line before
+            if len(open_) > 1:
+                yield sequence(open_)
+            open_ = []
+        open_.append((a, b))
+        on = _WRAP.match(data, b) if data[b - 1] != 61 else None  # behind padding nothing goes on
+        end = on.start(1) if on else -1
+        if on and on.end(1) - end < MIN_BASE64:  # a short last line
+            yield sequence([*open_, (end, on.end())])
+            open_, end = [], -1
+    if len(open_) > 1:
+        yield sequence(open_)
+
+
+def base64_layers(layer: Layer) -> Iterator[Layer]:
+    """Each run, and each wrapped sequence of runs, decoded from its first four characters on."""
+    for first, run, places in encoded_runs(layer):
+        body = run.rstrip(b"=").translate(_STANDARD)
+        coded = [body[skip : len(body) - ((len(body) - skip) % 4 == 1)] for skip in range(4)]
+        decoded = [binascii.a2b_base64(c + b"=" * (-len(c) % 4)) for c in coded]
+        if not may_hold(b"\0".join(decoded)):
+            continue
+        for skip, got in enumerate(decoded):
+
+            def source(i: int, j: int, first: int = first, n: int = len(run), skip: int = skip, places: np.ndarray | None = places) -> tuple[int, int]:
+                x, y = skip + i // 3 * 4, min(skip + (j - 1) // 3 * 4 + 3, n - 1)
+                return (first + x, first + y + 1) if places is None else (int(places[x]), int(places[y]) + 1)
+
+            yield Layer(got, layer.path + "+base64", layer, source)
+
+
+def stream_starts(layer: Layer) -> Iterator[tuple[int, str]]:
+    """Where streams may begin, from ``until`` on, which may move meanwhile."""
+    ahead = {sign: -1 for sign, _ in _STREAMS}
+    while True:
+        for sign, at in ahead.items():
+            if 0 <= at < layer.until or at == -1:
+                found = layer.data.find(sign, layer.until)
+                ahead[sign] = len(layer.data) if found < 0 else found
+        at, name = min((ahead[sign], name) for sign, name in _STREAMS)
+        if at >= len(layer.data):
+            return
+        yield at, name
+
+
+def stream_at(layer: Layer, start: int, name: str) -> Unpacked:
+    """The compressed stream that begins at a place; where the data are a window, it is read on behind it."""
+    rest = (layer.data[at : at + STEP] for at in range(start, len(layer.data), STEP))
+    return Unpacked(name, chain(rest, layer.more() if layer.more else ()))
+
+
+def explore(root: Layer, around: tuple[bytes, ...] = ()) -> set[tuple[int, int, int, str]]:
+    """(kind, start, end, path) of what the layers inside ``root`` hold, in its own positions; ``around``: digests of the streams it is a window of."""
+    found: set[tuple[int, int, int, str]] = set()
+    seen, told = {hashlib.sha256(root.data).digest()}, set()
+
+    def within(layer: Layer) -> Iterator[Layer]:
+        for make in (percent_layer, escape_layer):
+            if (made := make(layer)) is not None:
+                yield made
+        yield from base64_layers(layer)
+        if layer.parent is not None or layer.more is not None or around:  # a text itself is no stream
+            yield from unpacked(layer)
+
+    def unpacked(layer: Layer) -> Iterator[Layer]:
+        for start, name in stream_starts(layer):
+            stream = stream_at(layer, start, name)
+            blocks, held, size = iter(stream), [], 0
+            for block in blocks:
+                held.append(block)
+                size += len(block)
+                if size >= WINDOW:
+                    break
+            window = b"".join(held)
+            del held
+            if len(window) >= WINDOW:
+                kinds = windows(layer, start, name, blocks, window)
+            else:
+                kinds = set()
+            end = start + stream.taken if stream.ended or layer.more else len(layer.data)
+            if layer.parent is None or layer.source(start, min(end, len(layer.data))) is not None:
+                if kinds:
+                    if (place := layer.outward(start, min(end, len(layer.data)))) is not None:
+                        found.update((kind, *place, f"{layer.path}+{stream.name}{path}") for kind, path in kinds)
+                elif 0 < len(window) < WINDOW:
+                    yield Layer(window, f"{layer.path}+{stream.name}", layer, lambda a, b, s=start, e=min(end, len(layer.data)): (s, e))
+            layer.until = end if window and not stream.broken else start + 1
+
+    def windows(layer: Layer, start: int, name: str, blocks: Iterator[bytes], window: bytes) -> set[tuple[int, str]]:
+        """Kinds and paths of what a stream of more than one window holds."""
+        key = hashlib.sha256(window).digest()
+        kinds: set[tuple[int, str]] = set()
+        if key in around:  # it holds itself
+            return kinds
+        base = until = 0
+        while True:
+            block = next(blocks, None)
+
+            def more(seen: int = base + len(window)) -> Iterator[bytes]:
+                for part in stream_at(layer, start, name):
+                    if seen < len(part):
+                        yield part[seen:]
+                    seen = max(0, seen - len(part))
+
+            here = Layer(window, more=None if block is None else more, until=max(0, until - base))
+            kinds.update((kind, "") for kind, _, _ in base_findings(window))
+            kinds.update((kind, path) for kind, _, _, path in explore(here, (*around, key)))
+            if block is None:
+                return kinds
+            until, base = base + here.until, base + len(window) - OVERLAP
+            held, size = [window[-OVERLAP:], block], OVERLAP + len(block)
+            del here, window
+            while size < WINDOW and (block := next(blocks, None)) is not None:
+                held.append(block)
+                size += len(block)
+            window = b"".join(held)
+            del held
+
+    stack = [within(root)]
+    while stack:
+        layer = next(stack[-1], None)
+        if layer is None:
+            stack.pop()
+            continue
+        place = layer.outward(0, len(layer.data)) if layer.data else None
+        steps = "+".join(sorted(set(layer.path.split("+"))))  # a way by other steps may have decoded what this one left as it was
+        key = hashlib.sha256(layer.data + b"\0%d:%d%s" % (*(place or (-1, -1)), steps.encode())).digest()
+        if place is None or key in seen or not may_hold(layer.data):
+            continue
+        seen.add(key)
+        for kind, a, b in base_findings(layer.data):
+            if around and (kind, layer.path) in told:  # one is enough: all stand where the stream does
+                continue
+            if (where := layer.outward(a, b)) is not None:
+                found.add((kind, *where, layer.path))
+                told.add((kind, layer.path))
+        stack.append(within(layer))
+    return found
 
 
 def layer_findings(data: bytes) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, path) of what the decoded layers of a text hold, in bytes of the text."""
-    at = np.arange(len(data) + 1)
-    work = [Layer(data, at[:-1], at[1:], np.zeros(len(data), bool), "")]
-    seen = {hashlib.sha256(data).digest()}
-    found = set()
-    while work:
-        for layer in within(work.pop()):
-            key = hashlib.sha256(layer.data + b"\0%d:%d" % (layer.starts.min(initial=0), layer.ends.max(initial=0))).digest()
-            if key in seen or not layer.data:
-                continue
-            seen.add(key)
-            for kind, a, b in base_findings(layer.data, np.frombuffer(layer.data, np.uint8)):
-                if layer.decoded[a:b].any():
-                    found.add((kind, int(layer.starts[a:b].min()), int(layer.ends[a:b].max()), layer.path))
-            work.append(layer)
-    return sorted(found, key=lambda f: (f[1], f[0], f[2], f[3]))
+    return sorted(explore(Layer(data)), key=lambda f: (f[1], f[0], f[2], f[3]))
 
 
 def scan_rows(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Found, list[tuple[int, int, int, str]]]]:
