@@ -2,8 +2,8 @@
 
 A text is brought to words: A-Z in lower case, and runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with one space between them.  Texts without
-any keyword are done.  In the others, the rules are run of which a keyword, a string in all
-that an alternative matches, occurs;
+any string of the gate are done.  In the others, the rules are run of which a keyword, a string in all
+that an alternative matches, occurs.  Keywords and gate are derived from the patterns, so they lose no match;
 each match is an interval of word positions with the rule's label and priority
 (0 first).  Detections are taken by start, longest first, then by priority; one
 that lies inside an earlier one of the same or a better priority is suppressed.
@@ -30,129 +30,202 @@ from pyspark.sql import functions as F
 #: Fixed values of the query's contract.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: label: (keyword, name as a pattern over words, identifier as words).
+#: label: (name as a pattern over words, identifier as words).
 NAMES = {
-    "mit": ("mit", "mit(?: x11)?|expat", "mit"),
-    "mit-0": ("mit", "mit no attribution|mit 0", "mit 0"),
-    "apache-2": ("apache", "apache(?: software)?(?: public)? licen[cs]e (?:version |v)?2|apache 2", "apache 2"),
-    "apache-1.1": ("apache", "apache(?: software)? licen[cs]e (?:version |v)?1 1", "apache 1 1"),
-    "apache-1.0": ("apache", "apache(?: software)? licen[cs]e (?:version |v)?1 0", "apache 1 0"),
-    "bsd-2-clause": ("bsd", "(?:2|two) clause bsd|bsd 2 clause|simplified bsd|freebsd", "bsd 2 clause"),
-    "bsd-3-clause": ("bsd", "(?:3|three) clause bsd|bsd 3 clause|(?:new|modified|revised) bsd", "bsd 3 clause"),
-    "bsd-4-clause": ("bsd", "(?:4|four) clause bsd|bsd 4 clause|original bsd", "bsd 4 clause"),
-    "bsd-0-clause": ("bsd", "(?:0|zero) clause bsd|bsd zero clause|0bsd", "0bsd"),
-    "gpl-1": ("general", "gnu general public licen[cs]e (?:version |v)?1|gnu gpl ?v?1", "gpl 1 0"),
-    "gpl-2": ("general", "gnu general public licen[cs]e (?:version |v)?2|gnu gpl ?v?2", "gpl 2 0"),
-    "gpl-3": ("general", "gnu general public licen[cs]e (?:version |v)?3|gnu gpl ?v?3", "gpl 3 0"),
-    "lgpl-2": ("gnu", "gnu library general public licen[cs]e(?: version| v)? ?2", "lgpl 2 0"),
-    "lgpl-2.1": ("lesser", "gnu lesser general public licen[cs]e (?:version |v)?2 1", "lgpl 2 1"),
-    "lgpl-3": ("lesser", "gnu lesser general public licen[cs]e (?:version |v)?3", "lgpl 3 0"),
-    "agpl-3": ("affero", "gnu affero general public licen[cs]e(?: (?:version |v)?3)?", "agpl 3 0"),
-    "gfdl": ("documentation", "gnu free documentation licen[cs]e(?: (?:version |v)?1 [123])?", "gfdl 1 3"),
-    "mpl-1.1": ("mozilla", "mozilla public licen[cs]e (?:version |v)?1 1", "mpl 1 1"),
-    "mpl-2": ("mozilla", "mozilla public licen[cs]e (?:version |v)?2", "mpl 2 0"),
-    "epl-1": ("eclipse", "eclipse public licen[cs]e (?:version |v)?1", "epl 1 0"),
-    "epl-2": ("eclipse", "eclipse public licen[cs]e (?:version |v)?2", "epl 2 0"),
-    "edl-1": ("eclipse", "eclipse distribution licen[cs]e(?: (?:version |v)?1 0)?", "edl 1 0"),
-    "cddl-1": ("distribution", "common development and distribution licen[cs]e(?: (?:version |v)?1)?", "cddl 1 0"),
-    "cpl-1": ("common", "common public licen[cs]e(?: (?:version |v)?1 0)?", "cpl 1 0"),
-    "ipl-1": ("ibm", "ibm public licen[cs]e(?: (?:version |v)?1 0)?", "ipl 1 0"),
-    "artistic-1": ("artistic", "artistic licen[cs]e (?:version |v)?1", "artistic 1 0"),
-    "artistic-2": ("artistic", "artistic licen[cs]e (?:version |v)?2", "artistic 2 0"),
-    "bsl-1": ("boost", "boost software licen[cs]e(?: (?:version |v)?1 0)?", "bsl 1 0"),
-    "busl-1.1": ("business", "business source licen[cs]e(?: (?:version |v)?1 1)?", "busl 1 1"),
-    "isc": ("isc", "isc", "isc"),
-    "zlib": ("zlib", "zlib(?: libpng)?", "zlib"),
-    "libpng": ("libpng", "libpng", "libpng 2 0"),
-    "unlicense": ("unlicen", "unlicen[cs]e", "unlicense"),
-    "wtfpl": ("wtf", "wtfpl|do what the fuck you want to public licen[cs]e", "wtfpl"),
-    "postgresql": ("postgresql", "postgresql", "postgresql"),
-    "python-2": ("python", "python software foundation licen[cs]e(?: (?:version |v)?2)?|psf licen[cs]e", "python 2 0"),
-    "php-3": ("php", "php licen[cs]e (?:version |v)?3", "php 3 01"),
-    "ruby": ("ruby", "ruby", "ruby"),
-    "openssl": ("openssl", "openssl", "openssl"),
-    "sleepycat": ("sleepycat", "sleepycat(?: public)?", "sleepycat"),
-    "ofl-1.1": ("font", "(?:sil )?open font licen[cs]e(?: (?:version |v)?1 1)?", "ofl 1 1"),
-    "ubuntu-font": ("ubuntu", "ubuntu font licen[cs]e", "ubuntu font 1 0"),
-    "eupl-1.1": ("european", "european union public licen[cs]e (?:version |v)?1 1", "eupl 1 1"),
-    "eupl-1.2": ("european", "european union public licen[cs]e (?:version |v)?1 2", "eupl 1 2"),
-    "cecill": ("cecill", "cecill(?: [abc])?", "cecill 2 1"),
-    "osl-3": ("open", "open software licen[cs]e(?: (?:version |v)?3 0)?", "osl 3 0"),
-    "afl-3": ("academic", "academic free licen[cs]e(?: (?:version |v)?[23] [01])?", "afl 3 0"),
-    "ms-pl": ("microsoft", "microsoft public licen[cs]e", "ms pl"),
-    "ms-rl": ("microsoft", "microsoft reciprocal licen[cs]e", "ms rl"),
-    "odbl-1": ("database", "open (?:data commons open )?database licen[cs]e(?: v?1 0)?", "odbl 1 0"),
-    "odc-by": ("commons", "open data commons attribution licen[cs]e", "odc by 1 0"),
-    "pddl-1": ("domain", "open data commons public domain dedication(?: and licen[cs]e)?", "pddl 1 0"),
-    "upl-1": ("universal", "universal permissive licen[cs]e(?: (?:version |v)?1 0)?", "upl 1 0"),
-    "ncsa": ("illinois", "university of illinois ncsa open source licen[cs]e", "ncsa"),
-    "zpl-2": ("zope", "zope public licen[cs]e(?: (?:version |v)?2 [01])?", "zpl 2 1"),
-    "w3c": ("w3c", "w3c software(?: notice and)? licen[cs]e", "w3c"),
-    "vim": ("vim", "vim", "vim"),
-    "beerware": ("beer", "beer ?ware", "beerware"),
-    "sspl-1": ("server", "server side public licen[cs]e(?: (?:version |v)?1)?", "sspl 1 0"),
-    "elastic-2": ("elastic", "elastic licen[cs]e (?:version |v)?2(?: 0)?", "elastic 2 0"),
-    "commons-clause": ("commons", "commons clause(?: licen[cs]e)?(?: condition)?", "commons clause"),
-    "cc0": ("zero", "creative commons zero|cc zero|cc0", "cc0 1 0"),
-    "cc-by": ("cc", "creative commons attribution|cc by", "cc by 4 0"),
-    "cc-by-sa": ("cc", "creative commons attribution share ?alike|cc by sa", "cc by sa 4 0"),
-    "cc-by-nd": ("cc", "creative commons attribution no ?deriv(?:ative)?s?(?: works)?|cc by nd", "cc by nd 4 0"),
-    "cc-by-nc": ("cc", "creative commons attribution non ?commercial|cc by nc", "cc by nc 4 0"),
-    "cc-by-nc-sa": ("cc", "creative commons attribution non ?commercial share ?alike|cc by nc sa", "cc by nc sa 4 0"),
-    "cc-by-nc-nd": ("cc", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?|cc by nc nd", "cc by nc nd 4 0"),
+    "mit": ("mit(?: x11)?|expat", "mit"),
+    "mit-0": ("mit no attribution|mit 0", "mit 0"),
+    "apache-2": ("apache(?: software)?(?: public)? licen[cs]e (?:version |v)?2|apache 2", "apache 2"),
+    "apache-1.1": ("apache(?: software)? licen[cs]e (?:version |v)?1 1", "apache 1 1"),
+    "apache-1.0": ("apache(?: software)? licen[cs]e (?:version |v)?1 0", "apache 1 0"),
+    "bsd-2-clause": ("(?:2|two) clause bsd|bsd 2 clause|simplified bsd|freebsd", "bsd 2 clause"),
+    "bsd-3-clause": ("(?:3|three) clause bsd|bsd 3 clause|(?:new|modified|revised) bsd", "bsd 3 clause"),
+    "bsd-4-clause": ("(?:4|four) clause bsd|bsd 4 clause|original bsd", "bsd 4 clause"),
+    "bsd-0-clause": ("(?:0|zero) clause bsd|bsd zero clause|0bsd", "0bsd"),
+    "gpl-1": ("gnu general public licen[cs]e (?:version |v)?1|gnu gpl ?v?1", "gpl 1 0"),
+    "gpl-2": ("gnu general public licen[cs]e (?:version |v)?2|gnu gpl ?v?2", "gpl 2 0"),
+    "gpl-3": ("gnu general public licen[cs]e (?:version |v)?3|gnu gpl ?v?3", "gpl 3 0"),
+    "lgpl-2": ("gnu library general public licen[cs]e(?: version| v)? ?2", "lgpl 2 0"),
+    "lgpl-2.1": ("gnu lesser general public licen[cs]e (?:version |v)?2 1", "lgpl 2 1"),
+    "lgpl-3": ("gnu lesser general public licen[cs]e (?:version |v)?3", "lgpl 3 0"),
+    "agpl-3": ("gnu affero general public licen[cs]e(?: (?:version |v)?3)?", "agpl 3 0"),
+    "gfdl": ("gnu free documentation licen[cs]e(?: (?:version |v)?1 [123])?", "gfdl 1 3"),
+    "mpl-1.1": ("mozilla public licen[cs]e (?:version |v)?1 1", "mpl 1 1"),
+    "mpl-2": ("mozilla public licen[cs]e (?:version |v)?2", "mpl 2 0"),
+    "epl-1": ("eclipse public licen[cs]e (?:version |v)?1", "epl 1 0"),
+    "epl-2": ("eclipse public licen[cs]e (?:version |v)?2", "epl 2 0"),
+    "edl-1": ("eclipse distribution licen[cs]e(?: (?:version |v)?1 0)?", "edl 1 0"),
+    "cddl-1": ("common development and distribution licen[cs]e(?: (?:version |v)?1)?", "cddl 1 0"),
+    "cpl-1": ("common public licen[cs]e(?: (?:version |v)?1 0)?", "cpl 1 0"),
+    "ipl-1": ("ibm public licen[cs]e(?: (?:version |v)?1 0)?", "ipl 1 0"),
+    "artistic-1": ("artistic licen[cs]e (?:version |v)?1", "artistic 1 0"),
+    "artistic-2": ("artistic licen[cs]e (?:version |v)?2", "artistic 2 0"),
+    "bsl-1": ("boost software licen[cs]e(?: (?:version |v)?1 0)?", "bsl 1 0"),
+    "busl-1.1": ("business source licen[cs]e(?: (?:version |v)?1 1)?", "busl 1 1"),
+    "isc": ("isc", "isc"),
+    "zlib": ("zlib(?: libpng)?", "zlib"),
+    "libpng": ("libpng", "libpng 2 0"),
+    "unlicense": ("unlicen[cs]e", "unlicense"),
+    "wtfpl": ("wtfpl|do what the fuck you want to public licen[cs]e", "wtfpl"),
+    "postgresql": ("postgresql", "postgresql"),
+    "python-2": ("python software foundation licen[cs]e(?: (?:version |v)?2)?|psf licen[cs]e", "python 2 0"),
+    "php-3": ("php licen[cs]e (?:version |v)?3", "php 3 01"),
+    "ruby": ("ruby", "ruby"),
+    "openssl": ("openssl", "openssl"),
+    "sleepycat": ("sleepycat(?: public)?", "sleepycat"),
+    "ofl-1.1": ("(?:sil )?open font licen[cs]e(?: (?:version |v)?1 1)?", "ofl 1 1"),
+    "ubuntu-font": ("ubuntu font licen[cs]e", "ubuntu font 1 0"),
+    "eupl-1.1": ("european union public licen[cs]e (?:version |v)?1 1", "eupl 1 1"),
+    "eupl-1.2": ("european union public licen[cs]e (?:version |v)?1 2", "eupl 1 2"),
+    "cecill": ("cecill(?: [abc])?", "cecill 2 1"),
+    "osl-3": ("open software licen[cs]e(?: (?:version |v)?3 0)?", "osl 3 0"),
+    "afl-3": ("academic free licen[cs]e(?: (?:version |v)?[23] [01])?", "afl 3 0"),
+    "ms-pl": ("microsoft public licen[cs]e", "ms pl"),
+    "ms-rl": ("microsoft reciprocal licen[cs]e", "ms rl"),
+    "odbl-1": ("open (?:data commons open )?database licen[cs]e(?: v?1 0)?", "odbl 1 0"),
+    "odc-by": ("open data commons attribution licen[cs]e", "odc by 1 0"),
+    "pddl-1": ("open data commons public domain dedication(?: and licen[cs]e)?", "pddl 1 0"),
+    "upl-1": ("universal permissive licen[cs]e(?: (?:version |v)?1 0)?", "upl 1 0"),
+    "ncsa": ("university of illinois ncsa open source licen[cs]e", "ncsa"),
+    "zpl-2": ("zope public licen[cs]e(?: (?:version |v)?2 [01])?", "zpl 2 1"),
+    "w3c": ("w3c software(?: notice and)? licen[cs]e", "w3c"),
+    "vim": ("vim", "vim"),
+    "beerware": ("beer ?ware", "beerware"),
+    "sspl-1": ("server side public licen[cs]e(?: (?:version |v)?1)?", "sspl 1 0"),
+    "elastic-2": ("elastic licen[cs]e (?:version |v)?2(?: 0)?", "elastic 2 0"),
+    "commons-clause": ("commons clause(?: licen[cs]e)?(?: condition)?", "commons clause"),
+    "cc0": ("creative commons zero|cc zero|cc0", "cc0 1 0"),
+    "cc-by": ("creative commons attribution|cc by", "cc by 4 0"),
+    "cc-by-sa": ("creative commons attribution share ?alike|cc by sa", "cc by sa 4 0"),
+    "cc-by-nd": ("creative commons attribution no ?deriv(?:ative)?s?(?: works)?|cc by nd", "cc by nd 4 0"),
+    "cc-by-nc": ("creative commons attribution non ?commercial|cc by nc", "cc by nc 4 0"),
+    "cc-by-nc-sa": ("creative commons attribution non ?commercial share ?alike|cc by nc sa", "cc by nc sa 4 0"),
+    "cc-by-nc-nd": ("creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?|cc by nc nd", "cc by nc nd 4 0"),
 }
 
-_LED = "(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed|made available) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+_LED = "(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistributed|made available) (?:to you )?under (?:the |an? )?(?:terms (?:and conditions )?of (?:the |an? )?)?"
 #: How a name stands in a text: (keyword of the form, pattern around the name, priority, confidence).
 FORMS = (
     ("spdx", "spdx licen[cs]e identifier {id}", 0, 1.0),
     ("under", _LED + "(?:{name})(?: licen[cs]e)?(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?(?: international| unported| generic)?", 1, 0.95),
-    ("licen", "(?:the )?(?:{name}) licen[cs]e(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?", 2, 0.8),
+    ("licen", "(?:the |an? )?(?:{name}) licen[cs]e(?: (?:version |v)?[0-9]+(?: [0-9]+)?)?", 2, 0.8),
     ("licen", "licen[cs]e[ds]? (?:is |name )?(?:the )?(?:{name})", 3, 0.6),
+    ("licen", "(?:the |an? )?(?:{full})", 2, 0.7),
 )
 
-#: Signatures of license texts and notices: (keyword, pattern, label, priority, confidence).
+#: Signatures of license texts and notices: (pattern, label, priority, confidence).
 TEXTS = (
-    ("permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 1, 1.0),
-    ("permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 1, 1.0),
-    ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd", 1, 0.9),
-    ("endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause", 1, 1.0),
-    ("advertising", "all advertising materials mentioning features or use of this software must display", "bsd-4-clause", 1, 1.0),
-    ("apache", "apache org licenses license 2 0", "apache-2", 0, 1.0),
-    ("compliance", "you may not use this file except in compliance with the licen[cs]e", "apache-2", 2, 0.8),
-    ("gnu", "gnu org licenses gpl 3 0", "gpl-3", 0, 1.0),
-    ("gnu", "gnu org licenses (?:old licenses )?gpl 2 0", "gpl-2", 0, 1.0),
-    ("gnu", "gnu org licenses lgpl 3 0", "lgpl-3", 0, 1.0),
-    ("gnu", "gnu org licenses agpl 3 0", "agpl-3", 0, 1.0),
-    ("general", "(?:the )?gnu general public licen[cs]e", "gpl", 3, 0.7),
-    ("lesser", "(?:the )?gnu lesser general public licen[cs]e", "lgpl", 3, 0.7),
-    ("redistribute", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "gpl", 2, 0.9),
-    ("later", "either version 2 of the licen[cs]e or at your option any later version", "gpl-2-or-later", 1, 1.0),
-    ("later", "either version 3 of the licen[cs]e or at your option any later version", "gpl-3-or-later", 1, 1.0),
-    ("gpl", "gpl ?v?2(?: 0)?", "gpl-2", 3, 0.6),
-    ("gpl", "gpl ?v?3(?: 0)?", "gpl-3", 3, 0.6),
-    ("lgpl", "lgpl ?v?2(?: 1)?", "lgpl-2.1", 3, 0.6),
-    ("lgpl", "lgpl ?v?3(?: 0)?", "lgpl-3", 3, 0.6),
-    ("agpl", "agpl ?v?3(?: 0)?", "agpl-3", 3, 0.6),
-    ("mozilla", "mozilla org mpl 2 0", "mpl-2", 0, 1.0),
-    ("mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e", "mpl-2", 1, 1.0),
-    ("eclipse", "eclipse org legal epl (?:v10|2 0)", "epl", 0, 1.0),
-    ("opensource", "opensource org licenses mit", "mit", 0, 1.0),
-    ("opensource", "opensource org licenses bsd", "bsd", 0, 0.9),
-    ("opensource", "opensource org licenses isc", "isc", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by [1-4] [0-9]", "cc-by", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by sa [1-4] [0-9]", "cc-by-sa", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by nc [1-4] [0-9]", "cc-by-nc", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by nd [1-4] [0-9]", "cc-by-nd", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by nc sa [1-4] [0-9]", "cc-by-nc-sa", 0, 1.0),
-    ("creativecommons", "creativecommons org licenses by nc nd [1-4] [0-9]", "cc-by-nc-nd", 0, 1.0),
-    ("creativecommons", "creativecommons org publicdomain zero 1 0", "cc0", 0, 1.0),
-    ("domain", "(?:is |are |been )?(?:released |placed |dedicated )?(?:in|into|to) the public domain", "public-domain", 2, 0.8),
-    ("unencumbered", "this is free and unencumbered software released into the public domain", "unlicense", 1, 1.0),
-    ("reserved", "all rights reserved", "all-rights-reserved", 3, 0.5),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary", 2, 0.8),
-    ("implied", "provided as is without any express or implied warranty", "zlib", 2, 0.6),
-    ("warranty", "the software is provided as is without warranty of any kind", "mit", 3, 0.5),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 1, 1.0),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 1, 1.0),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 1, 0.9),
+    ("neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause", 1, 1.0),
+    ("all advertising materials mentioning features or use of this software must display", "bsd-4-clause", 1, 1.0),
+    ("apache org licenses license 2 0", "apache-2", 0, 1.0),
+    ("you may not use this file except in compliance with the licen[cs]e", "apache-2", 2, 0.8),
+    ("gnu org licenses gpl 3 0", "gpl-3", 0, 1.0),
+    ("gnu org licenses (?:old licenses )?gpl 2 0", "gpl-2", 0, 1.0),
+    ("gnu org licenses lgpl 3 0", "lgpl-3", 0, 1.0),
+    ("gnu org licenses agpl 3 0", "agpl-3", 0, 1.0),
+    ("(?:the )?gnu general public licen[cs]e", "gpl", 3, 0.7),
+    ("(?:the )?gnu lesser general public licen[cs]e", "lgpl", 3, 0.7),
+    ("you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "gpl", 2, 0.9),
+    ("either version 2 of the licen[cs]e or at your option any later version", "gpl-2-or-later", 1, 1.0),
+    ("either version 3 of the licen[cs]e or at your option any later version", "gpl-3-or-later", 1, 1.0),
+    ("gpl ?v?2(?: 0)?", "gpl-2", 3, 0.6),
+    ("gpl ?v?3(?: 0)?", "gpl-3", 3, 0.6),
+    ("lgpl ?v?2(?: 1)?", "lgpl-2.1", 3, 0.6),
+    ("lgpl ?v?3(?: 0)?", "lgpl-3", 3, 0.6),
+    ("agpl ?v?3(?: 0)?", "agpl-3", 3, 0.6),
+    ("mozilla org mpl 2 0", "mpl-2", 0, 1.0),
+    ("this source code form is subject to the terms of the mozilla public licen[cs]e", "mpl-2", 1, 1.0),
+    ("eclipse org legal epl (?:v10|2 0)", "epl", 0, 1.0),
+    ("opensource org licenses mit", "mit", 0, 1.0),
+    ("opensource org licenses bsd", "bsd", 0, 0.9),
+    ("opensource org licenses isc", "isc", 0, 1.0),
+    ("creativecommons org licenses by [1-4] [0-9]", "cc-by", 0, 1.0),
+    ("creativecommons org licenses by sa [1-4] [0-9]", "cc-by-sa", 0, 1.0),
+    ("creativecommons org licenses by nc [1-4] [0-9]", "cc-by-nc", 0, 1.0),
+    ("creativecommons org licenses by nd [1-4] [0-9]", "cc-by-nd", 0, 1.0),
+    ("creativecommons org licenses by nc sa [1-4] [0-9]", "cc-by-nc-sa", 0, 1.0),
+    ("creativecommons org licenses by nc nd [1-4] [0-9]", "cc-by-nc-nd", 0, 1.0),
+    ("creativecommons org publicdomain zero 1 0", "cc0", 0, 1.0),
+    ("(?:is |are |been )?(?:released |placed |dedicated )?(?:in|into|to) the public domain", "public-domain", 2, 0.8),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 1, 1.0),
+    ("all rights reserved", "all-rights-reserved", 3, 0.5),
+    ("(?:proprietary and confidential|confidential and proprietary)", "proprietary", 2, 0.8),
+    ("provided as is without any express or implied warranty", "zlib", 2, 0.6),
+    ("the software is provided as is without warranty of any kind", "mit", 3, 0.5),
+    ("opensource org licenses apache 2 0", "apache-2", 0, 1.0),
+    ("apache org licenses license 1 1", "apache-1.1", 0, 1.0),
+    ("unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", "apache-2", 2, 0.8),
+    ("this product includes software developed by the apache (?:software foundation|group)", "apache-1.1", 2, 0.7),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", 1, 0.9),
+    ("except as contained in this notice the name of (?:the )?.{1,60}? shall not be used in advertising or otherwise to promote", "x11", 1, 1.0),
+    ("permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "hpnd", 1, 1.0),
+    ("the software shall be used for good not evil", "json", 1, 1.0),
+    ("redistributions of source code must retain the above copyright notice", "bsd", 1, 0.9),
+    ("redistributions in binary form must reproduce the above copyright notice", "bsd", 1, 0.9),
+    ("this software is provided by the (?:copyright holders|regents) and contributors as is", "bsd", 2, 0.8),
+    ("this product includes software developed by the university of california", "bsd-4-clause", 1, 1.0),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software", "isc", 1, 0.9),
+    ("the origin of this software must not be misrepresented", "zlib", 1, 1.0),
+    ("altered source versions must be plainly marked as such", "zlib", 1, 1.0),
+    ("opensource org licenses zlib", "zlib", 0, 1.0),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "bsl-1", 1, 1.0),
+    ("boost org license 1 0", "bsl-1", 0, 1.0),
+    ("anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", 1, 1.0),
+    ("unlicense org", "unlicense", 0, 0.9),
+    ("you just do what the fuck you want to", "wtfpl", 1, 1.0),
+    ("wtfpl net", "wtfpl", 0, 0.9),
+    ("this program is free software you can redistribute it and or modify", "gpl", 2, 0.8),
+    ("this library is free software you can redistribute it and or modify", "lgpl", 2, 0.8),
+    ("you should have received a copy of the gnu general public licen[cs]e", "gpl", 2, 0.9),
+    ("you should have received a copy of the gnu lesser general public licen[cs]e", "lgpl", 2, 0.9),
+    ("you should have received a copy of the gnu affero general public licen[cs]e", "agpl", 2, 0.9),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "gfdl", 1, 1.0),
+    ("gnu org licenses fdl(?: 1 [123])?", "gfdl", 0, 1.0),
+    ("gnu org (?:licenses|copyleft) gpl(?: html| txt)?", "gpl", 1, 0.9),
+    ("gnu org (?:licenses|copyleft) lesser(?: html| txt)?", "lgpl", 1, 0.9),
+    ("opensource org licenses gpl (?:2|3) 0", "gpl", 0, 0.9),
+    ("opensource org licenses lgpl (?:2|3) [01]", "lgpl", 0, 0.9),
+    ("opensource org licenses mpl 2 0", "mpl-2", 0, 1.0),
+    ("opensource org licenses artistic 2 0", "artistic-2", 0, 1.0),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2", 1, 1.0),
+    ("the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "mpl-1.1", 1, 1.0),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "epl", 1, 1.0),
+    ("this program and the accompanying materials are made available under the terms of the eclipse distribution licen[cs]e", "edl-1", 1, 1.0),
+    ("eclipse org org documents edl v10", "edl-1", 0, 1.0),
+    ("the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "cddl-1", 1, 1.0),
+    ("licen[cs]ed under the eupl", "eupl", 1, 0.9),
+    ("the intent of this document is to state the conditions under which a package may be copied", "artistic-1", 1, 1.0),
+    ("if we meet some day and you think this stuff is worth it you can buy me a beer", "beerware", 1, 1.0),
+    ("this font software is licen[cs]ed under the sil open font licen[cs]e", "ofl-1.1", 1, 1.0),
+    ("scripts sil org ofl", "ofl-1.1", 0, 1.0),
+    ("psf is making python available to licensee on an as is basis", "python-2", 1, 1.0),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "postgresql", 1, 1.0),
+    ("to deal with the software without restriction", "ncsa", 1, 0.9),
+    ("this product includes software developed by the openssl project", "openssl", 1, 1.0),
+    ("this product includes php software freely available from", "php-3", 1, 1.0),
+    ("permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted", "w3c", 1, 1.0),
+    ("vim is charityware", "vim", 1, 1.0),
+    ("this work is licen[cs]ed under a creative commons", "cc", 3, 0.6),
+    ("to the extent possible under law .{1,80}? (?:has|have) waived all copyright and related or neighboring rights", "cc0", 1, 1.0),
+    ("creativecommons org publicdomain mark 1 0", "public-domain", 0, 1.0),
+    ("opendatacommons org licenses odbl", "odbl-1", 0, 1.0),
+    ("opendatacommons org licenses by", "odc-by", 0, 1.0),
+    ("opendatacommons org licenses pddl", "pddl-1", 0, 1.0),
+    ("the software is provided to you by the licensor under the licen[cs]e as defined below subject to the following condition", "commons-clause", 1, 1.0),
+    ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "busl-1.1", 1, 1.0),
+    ("mariadb com bsl11", "busl-1.1", 0, 1.0),
+    ("if you make the functionality of the program or a modified version available to third parties as a service", "sspl-1", 1, 1.0),
+    ("you may not provide the software to third parties as a hosted or managed service", "elastic-2", 1, 1.0),
+    ("elastic co licensing elastic license", "elastic-2", 0, 1.0),
+    ("polyformproject org licenses", "polyform", 0, 0.9),
+    ("polyform (?:noncommercial|shield|strict|small business|free trial|perimeter)(?: licen[cs]e)?", "polyform", 2, 0.8),
+    ("creativeml open ?rail(?: m)?|bigscience (?:open ?)?rail(?: m)?|open ?rail(?: m)? licen[cs]e", "openrail", 1, 0.9),
+    ("llama (?:[234](?: [0-9])? )?community licen[cs]e(?: agreement)?", "llama-community", 1, 0.9),
+    ("unauthori[sz]ed copying of this file via any medium is strictly prohibited", "proprietary", 1, 0.9),
+    ("this software is the confidential and proprietary information of", "proprietary", 1, 0.9),
+    ("no part of this (?:book|publication|document|work|software) may be reproduced", "all-rights-reserved", 1, 0.8),
 )
 
 #: What stands between the contract's words, before A-Z are in lower case.
@@ -160,22 +233,32 @@ OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PRIORITIES = 4
 
 
-def literals(pattern: str) -> list[str]:
-    """For each alternative of a pattern, a string that stands in all that it matches."""
-    depth, alternatives = 0, [""]
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between bars outside of groups."""
+    depth, out = 0, [""]
     for c in pattern:
         depth += (c == "(") - (c == ")")
         if c == "|" and not depth:
-            alternatives.append("")
+            out.append("")
         else:
-            alternatives[-1] += c
+            out[-1] += c
+    return out
+
+
+def without_groups(pattern: str) -> str:
+    """A pattern with a line break for each group."""
+    while pattern != (pattern := re.sub(r"\([^()]*\)\??", "\n", pattern)):
+        pass
+    return pattern
+
+
+def literals(pattern: str) -> list[str]:
+    """For each alternative of a pattern, a string that stands in all that it matches, with the space before its first word."""
     out = []
-    for alternative in alternatives:
-        plain = alternative
-        while plain != (plain := re.sub(r"\([^()]*\)\??", "\n", plain)):
-            pass
-        plain = re.sub(r"\[[^]]*\]\??|\.\{[^}]*\}\??|[^\n]\?", "\n", plain)
-        longest = max(plain.split("\n"), key=len)
+    for alternative in alternatives(pattern):
+        plain = re.sub(r"\[[^]]*\]\??|\.\{[^}]*\}\??|[^\n]\?", "\n", without_groups(alternative))
+        first, *others = plain.split("\n")
+        longest = max([f" {first}" if first else "", *others], key=len)
         out += [longest] if longest.strip() else literals(re.fullmatch(r"\(\?:(.*)\)", alternative)[1])
     return out
 
@@ -184,14 +267,27 @@ def rules() -> list[tuple[str, tuple[str, ...], str, str, int, float]]:
     """(string in all matches, strings of which one is in each match, pattern, label, priority, confidence) of all rules in order."""
     out = []
     for first, form, priority, sure in FORMS:
-        for label, (_, name, spdx) in NAMES.items():
-            out.append((first, tuple(literals(spdx if first == "spdx" else name)), form.format(name=name, id=spdx), label, priority, sure))
-    return [*out, *(("", tuple(literals(pattern)), pattern, *rest) for _, pattern, *rest in TEXTS)]
+        for label, (name, spdx) in NAMES.items():
+            full = "|".join(a for a in alternatives(name) if "licen" in without_groups(a))
+            if full or "{full}" not in form:
+                own = spdx if first == "spdx" else full if "{full}" in form else name
+                out.append((first, tuple(literals(own)), form.format(name=name, id=spdx, full=full), label, priority, sure))
+    return [*out, *(("", tuple(literals(pattern)), pattern, *rest) for pattern, *rest in TEXTS)]
 
 
 def gate() -> list[str]:
-    """A text whose words hold none of these has no base phrase and meets no rule."""
-    return sorted({k for _, keywords, *_ in rules() for k in keywords} | {phrase for phrase, _ in BASE})
+    """Few strings: a text whose words hold none of these has no base phrase and meets no rule.
+
+    Each rule needs one string of a set; the words that stand in most of these strings are taken until each string holds one.
+    """
+    needed = {k for first, keywords, *_ in rules() for k in ([first] if first else keywords)} | {phrase for phrase, _ in BASE}
+    stems = {w for k in needed for w in [k.strip(), *k.split()] if len(w) > 4 or w == k.strip()}
+    out = []
+    while needed:
+        best = max(sorted(stems), key=lambda w: (sum(w in k for k in needed), len(w)))
+        out.append(best)
+        needed = {k for k in needed if best not in k}
+    return out
 
 
 def spaces(text: Column) -> Column:
@@ -234,8 +330,8 @@ def survivors(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), start, step)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+def scan(docs: DataFrame, text_col: str = "text", prefilter: bool = True) -> DataFrame:
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.  Without the prefilter every rule runs on every text, with the same result."""
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     taken = {c.lower() for c in docs.columns}
     hold = "_words"
@@ -245,7 +341,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     low = F.col(hold + "_low")  # a column of its own: inside the conditions it would be computed for each of them
     held_words = F.from_json(F.lit(json.dumps(gate())), "array<string>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.when(F.exists(held_words, lambda k: F.contains(low, k)), F.translate(F.col(hold + "_norm"), upper, upper.lower()))
+    words = F.translate(F.col(hold + "_norm"), upper, upper.lower())
+    if prefilter:
+        words = F.when(F.exists(held_words, lambda k: F.contains(low, k)), words)
     by_keyword: dict[tuple[str, ...], list[dict]] = {}
     for first, keywords, pattern, label, priority, sure in rules():
         by_keyword.setdefault(keywords, []).append({"also": first, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
@@ -258,8 +356,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn(hold + "_spaced", F.concat(F.lit(" "), F.col(hold)))
     count, held = F.col(hold + "_n"), F.col(hold)
     spaced = F.col(hold + "_spaced")
-    wanted = F.flatten(F.transform(F.filter(book, lambda b: F.exists(b["keywords"], lambda k: F.contains(spaced, k))), lambda b: b["rules"]))
-    wanted = F.filter(wanted, lambda r: F.contains(spaced, r["also"]))
+    open_ = F.filter(book, lambda b: F.exists(b["keywords"], lambda k: F.contains(spaced, k))) if prefilter else book
+    wanted = F.flatten(F.transform(open_, lambda b: b["rules"]))
+    wanted = F.filter(wanted, lambda r: F.contains(spaced, r["also"])) if prefilter else wanted
     found = F.flatten(F.transform(wanted, lambda r: detections(held, r)))
     out = out.withColumn(hold + "_scan", F.when(held.isNotNull(), survivors(found)))
     phrases = []
