@@ -142,12 +142,11 @@ def test_topk_against_sql(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
-@pytest.mark.parametrize("block,ask,leaf", [(64, 4096, 2), (100_000, 7, 8)])
-def test_topk_with_ties_edges_and_blocks(spark, monkeypatch, block, ask, leaf):
+@pytest.mark.parametrize("block,ask,group", [(64, 4096, 3), (100_000, 7, 4096)])
+def test_topk_with_ties_edges_and_blocks(spark, monkeypatch, block, ask, group):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES", ask)
-    monkeypatch.setattr(topk, "LEAF", leaf)
-    monkeypatch.setattr(topk, "SAMPLE", 20)
+    monkeypatch.setattr(topk, "GROUP", group)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in (centres[i % 6] + 0.05 * rng.normal(size=8) if i % 3 else centres[i % 6])]) for i in range(400)]
@@ -161,6 +160,69 @@ def test_topk_with_ties_edges_and_blocks(spark, monkeypatch, block, ask, leaf):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
+def plain_top(queries, data, ids, names, k=5):
+    out = []
+    for q, name in zip(queries.astype(int).astype(object), names):
+        scores = sorted((-sum(x * y for x, y in zip(q, p)), i) for p, i in zip(data.astype(int).astype(object), ids) if i != name)
+        out.append([(-s, int(i)) for s, i in scores[:k]])
+    return out
+
+
+def found_by_tree(queries, data, ids, names):
+    best = topk.Best(names, 5)
+    for lo in range(0, len(data), 300):
+        topk.search(best, np.arange(len(queries)), queries, data[lo : lo + 300], ids[lo : lo + 300])
+    return [[(int(s), int(i)) for s, i in zip(a, b) if s > topk.LEAST] for a, b in zip(best.score, best.found)], best
+
+
+@pytest.mark.parametrize("kind", ["clusters", "random", "line", "equal", "few values", "large"])
+def test_topk_trees_against_every_pair(monkeypatch, kind):
+    """Small leaves, so that trees are deep; whatever is pruned, the result is that of all pairs."""
+    for name, value in (("FEW", 50), ("LEAF", 2), ("FAN", 4), ("PAYS", 0.01), ("COLUMNS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6))
+    made = {
+        "clusters": lambda n: centres[rng.integers(0, 12, n)] + 0.01 * rng.normal(size=(n, 6)),
+        "random": lambda n: rng.normal(size=(n, 6)),
+        "line": lambda n: np.outer(rng.normal(size=n), np.ones(6)),
+        "equal": lambda n: np.ones((n, 6)),
+        "few values": lambda n: rng.integers(-1, 2, (n, 6)) / 256,
+        "large": lambda n: 1e6 * rng.normal(size=(n, 6)),
+    }[kind]
+    q, p = np.floor(256 * made(60)), np.floor(256 * made(700))
+    ids, names = rng.permutation(700), rng.permutation(700)[:60]
+    got, best = found_by_tree(q, p, ids, names)
+    assert got == plain_top(q, p, ids, names)
+    if kind == "clusters":
+        assert best.scored < 0.5 * best.asked == 0.5 * 60 * 700
+
+
+def test_topk_prunes_clusters_and_costs_little_where_it_cannot():
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 64)))
+    centres = unit(40)
+    near = lambda n: np.floor(256 * (centres[rng.integers(0, 40, n)] + 0.02 * rng.normal(size=(n, 64))))
+    best = topk.Best(np.arange(2000) + 10**6, 5)
+    topk.search(best, np.arange(2000), near(2000), near(8192), np.arange(8192))
+    assert best.scored < 0.1 * best.asked == 0.1 * 2000 * 8192
+    best = topk.Best(np.arange(4000) + 10**6, 5)
+    topk.search(best, np.arange(4000), np.floor(256 * unit(4000)), np.floor(256 * unit(8192)), np.arange(8192))
+    assert best.scored == best.asked and best.measured < 0.05 * best.asked  # one level, then one product
+    best = topk.Best(np.arange(40) + 10**6, 5)
+    topk.search(best, np.arange(40), np.floor(256 * unit(40)), np.floor(256 * unit(2000)), np.arange(2000))
+    assert best.measured == 0  # so small a block is one leaf
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(50 * k, [float(x), float(y)]) for k, (x, y) in enumerate([(2.0**40, 1.0), (2.0**40, 2.0), (-(2.0**40), 3.0), (1e300, 0.0)])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    for q in whole:
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v)), -(2**63) + 1), 2**63 - 1), i) for i, v in whole.items() if i != q)
+        assert [got[q, k] for k in (1, 2, 3)] == [(i, -s) for s, i in scores]
+
+
 def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top(empty, F.col("vec_id") % 50 == 0).count() == 0
