@@ -41,10 +41,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.5
 SEED = 1
 SPACE = 32
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 LINEAR = 48  # units of more bytes are filtered in logarithms
 GAIN = 60.0  # about the inverse weight of a byte, so that sums neither vanish nor overflow over LINEAR bytes
 MOST_EDGES = 1_000_000  # filtered units are kept for the next chunks of a task until they have so many edges
+_NEXT = np.arange(48)[:, None]
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
 
@@ -112,10 +113,7 @@ class Lattice:
         name = np.empty(len(children), np.int32)
         name[order] = np.arange(len(children))
         self.inner = sum(map(bool, children))
-        self.next = np.full((self.inner, 256), -1, np.int32)
-        for r, n in enumerate(order[: self.inner]):
-            self.next[r, list(children[n])] = name[list(children[n].values())]
-        self.next = self.next.ravel()
+        self.place([(list(children[n]), name[list(children[n].values())]) for n in order[: self.inner]])
         self.terminal, self.weight = np.array(terminal, np.int32)[order], np.array(weight)[order]
         self.forget()
         self.byte_ids, self.fallback = vocabulary.byte_ids, fallback
@@ -129,6 +127,27 @@ class Lattice:
         self.at = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
 
+    def place(self, rows: list[tuple[list[int], np.ndarray]]) -> None:
+        """Lay the rows of the transition table over each other where their entries do not meet: node n goes on with byte b
+        to ``target[base[n] + b]`` if ``owner`` there is n.  The whole table would take 40 MB a worker."""
+        size = 4096 + 8 * sum(len(b) for b, _ in rows)
+        self.base, self.owner, self.target = np.zeros(len(rows), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        count = np.array([len(b) for b, _ in rows])
+        start = 0
+        for n in sorted(np.flatnonzero(count > 1).tolist(), key=lambda n: -count[n]):
+            places, at = np.array(rows[n][0]), start
+            while not (good := (self.owner[at + _NEXT + places] < 0).all(axis=1)).any():
+                at += len(_NEXT)
+            at += int(good.argmax())
+            self.base[n], self.owner[at + places], self.target[at + places] = at, n, rows[n][1]
+            if at > start + 4 * len(_NEXT):  # crowded: later rows do not look here again
+                start += len(_NEXT)
+        lone = np.flatnonzero(count == 1)  # these fill the gaps
+        at = 256 + np.flatnonzero(self.owner[256:] < 0)[: len(lone)]
+        self.base[lone], self.owner[at], self.target[at] = at - [rows[n][0][0] for n in lone], lone, [rows[n][1][0] for n in lone]
+        last = int(np.flatnonzero(self.owner >= 0).max(initial=0)) + 257
+        self.owner, self.target = self.owner[:last].copy(), self.target[:last].copy()
+
     def needs_fallback(self, data: np.ndarray) -> np.ndarray:
         """Bytes of characters that are no piece of their own."""
         out = (data < 128) & ~self.single_ascii[data]
@@ -225,13 +244,14 @@ class Lattice:
             unit = np.flatnonzero(here > -np.inf if log else here > 0)
             at = here[unit]
             where = starts[unit] + k
-            spot = bare[where]
-            if spot.any():
-                add(unit[spot], at[spot], k, k + 1, self.byte_ids[buffer[where[spot]]], fallback)
+            alone = bare[where]
+            if alone.any():
+                add(unit[alone], at[alone], k, k + 1, self.byte_ids[buffer[where[alone]]], fallback)
             room = length[unit] - k
             node, d = np.zeros(len(unit), np.int64), 0
             while len(unit):
-                node = self.next[node * 256 + buffer[where + d]].astype(np.int64)
+                spot = self.base[node] + buffer[where + d]
+                node = np.where(self.owner[spot] == node, self.target[spot], -1)
                 d += 1
                 ids = self.terminal[node]
                 end = np.flatnonzero((node >= 0) & (ids >= 0))
@@ -297,7 +317,7 @@ class Lattice:
 
 def encode(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """``docs`` with ``ids`` (pieces), ``n_tokens`` and ``lossless``: whether the ids, decoded, are the text."""
-    # Built once, here: about 40 MB for 32,000 pieces, bounded by the vocabulary, and shared by the tasks of a worker.
+    # Built once, here: a few MB for 32,000 pieces, bounded by the vocabulary, and shared by the tasks of a worker.
     held = docs.sparkSession.sparkContext.broadcast(Lattice(Vocabulary.read(model), alpha, seed))
     fields = T.StructType([IDS, T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())])
     key = "_row_key"
