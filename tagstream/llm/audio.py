@@ -8,18 +8,20 @@ each comparison is quantised to 2 bits in Gray code, and 16 of them make one pac
 32-bit integer.  Windows over silence are kept in the fingerprint, as 0, but not
 looked up.
 
-Alignment: equal halves (16 bits) of integers of a query and a recording vote for their offset; the
-offset with most votes (ties: the one nearest 0, then the smaller) is taken, and
-accepted if at least ``MIN_OVERLAP`` integers overlap there and at most ``MAX_ERROR``
-of their bits differ.
+Alignment: integers of a query and a recording that are equal in three of their four
+bytes vote for their offset.  At every offset with a vote the integers that overlap are
+compared; among the offsets where at least ``MIN_OVERLAP`` do, and at most ``MAX_ERROR`` of
+their bits differ, the one with most votes (ties: the one nearest 0, then the smaller)
+is taken.  Keys of 24 bits are rare enough for most votes to be true ones.
 
 Recordings with equal fingerprints are one class, named by its smallest id; only
 classes are compared.  Queries come in blocks of at most ``QUERIES`` classes, which
 are broadcast and met by all classes where those stand; only matches are handed
 on.  No match is cut off.
 
-Defined results: null media, broken files and recordings shorter than one window
-of ``WIDTH`` frames have an empty fingerprint and match nothing.  Repeated rows fall
+Defined results: null media, broken files, files whose rate is not within ``RATES`` and
+recordings shorter than one window of ``WIDTH`` frames have an empty fingerprint and match
+nothing.  Files are decoded in blocks of ``DECODE`` samples.  Repeated rows fall
 in one class.  Rows with a null id have a fingerprint but take no part in matches.
 
 No table holds audio, so the query renders each embedding as a melody (``render``):
@@ -29,6 +31,7 @@ its tempo, rate and loudness are fixed, component i sets note i.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -49,8 +52,9 @@ LOWEST, HIGHEST = 55.0, 2600.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 SILENCE = 1e-4  # power of a frame against full scale
 NOTE = 0.1
-QUERIES = 4096
-MIN_VOTES = 2
+RATES = (1000, 1_000_000)  # samples a second; a header that says otherwise is broken
+DECODE = 1 << 20
+QUERIES = 8192
 MIN_OVERLAP = 20
 MAX_ERROR = 0.15
 HITS = 2_000_000
@@ -67,29 +71,44 @@ FILTERS = (
 Decoder = Callable[[object], "np.ndarray | None"]
 
 
+def mono(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """The mean of the channels, in -1..1."""
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 2:
+        x = np.frombuffer(raw, "<i2") / np.float32(32768)
+    elif width == 4:
+        x = (np.frombuffer(raw, "<i4") / 2147483648.0).astype(np.float32)
+    else:
+        wide = np.frombuffer(raw, np.uint8).reshape(-1, width)[:, -3:].astype(np.int32)
+        x = ((wide[:, 2] << 24 | wide[:, 1] << 16 | wide[:, 0] << 8) >> 8) / np.float32(8388608)
+    return x.reshape(-1, channels).mean(axis=1)
+
+
 def decode_wav(data: bytes | None) -> np.ndarray | None:
     """Mono samples in -1..1 at ``RATE`` of a PCM WAV file; None if it is not one."""
     if not data:
         return None
+    parts, first, before = [], 0, np.zeros(0, np.float32)  # samples so far, and the last of them
     try:
         with wave.open(io.BytesIO(data)) as f:
-            width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
-    except (wave.Error, EOFError, ValueError):
+            width, channels, rate = f.getsampwidth(), f.getnchannels(), f.getframerate()
+            if not RATES[0] <= rate <= RATES[1]:
+                return None
+            while len(x := mono(f.readframes(DECODE), width, channels)):
+                if rate != RATE:
+                    held = np.concatenate([before, x])
+                    start = first - len(before)
+                    k = np.arange(-(-start * RATE // rate) if start else 0, (first + len(x) - 1) * RATE // rate + 1)
+                    at = k * (rate / RATE) - start
+                    parts.append(np.interp(at[at >= 0] if not start else at[at > 0], np.arange(len(held)), held).astype(np.float32))
+                else:
+                    parts.append(x)
+                first, before = first + len(x), x[-1:]
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError, struct.error):
         return None
-    raw = raw[: len(raw) // (width * channels) * width * channels]
-    if width == 1:
-        x = np.frombuffer(raw, np.uint8) / 128.0 - 1
-    elif width == 2:
-        x = np.frombuffer(raw, "<i2") / 32768.0
-    elif width == 4:
-        x = np.frombuffer(raw, "<i4") / 2147483648.0
-    else:
-        wide = np.frombuffer(raw, np.uint8).reshape(-1, width)[:, -3:].astype(np.int32)
-        x = ((wide[:, 2] << 24 | wide[:, 1] << 16 | wide[:, 0] << 8) >> 8) / 8388608.0
-    x = x.reshape(-1, channels).mean(axis=1)
-    if rate != RATE and len(x):
-        x = np.interp(np.arange(0, len(x), rate / RATE), np.arange(len(x)), x)
-    return x
+    return np.concatenate([np.zeros(0, np.float32), *parts])
 
 
 def render(vector: list[float] | None) -> np.ndarray | None:
@@ -191,62 +210,72 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.concatenate([[0], np.cumsum([len(v) for v in column])]).astype(np.int64)
 
 
-def halves(values: np.ndarray) -> np.ndarray:
-    """The upper and the lower half of each integer, told apart: two keys below 2 ** 17 side by side."""
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """Each integer without one of its four bytes: four keys below 2 ** 26 side by side, which say which is left out."""
     bits = values.view(np.uint32)
-    return np.stack([bits >> np.uint32(16), bits & np.uint32(0xFFFF) | np.uint32(0x10000)], axis=1).astype(np.int64).ravel()
+    low = [(bits >> np.uint32(8 * k + 8) << np.uint32(8 * k) if k < 3 else np.uint32(0)) | bits & np.uint32((1 << 8 * k) - 1) for k in range(4)]
+    return np.stack([x | np.uint32(k << 24) for k, x in enumerate(low)], axis=1).astype(np.int32).ravel()
 
 
 class Index:
-    """Queries' fingerprints, looked up by the halves of their integers."""
+    """Queries' fingerprints, looked up by the keys of their integers."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> None:
         self.ids, self.values, self.bounds = ids, values, bounds
-        owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        place = np.arange(len(values)) - bounds[owner]
-        keys, at = halves(values), np.repeat(np.arange(len(values)), 2)
+        keys, at = keys_of(values), np.repeat(np.arange(len(values), dtype=np.int32), 4)
         by = np.argsort(keys, kind="stable")
         by = by[values[at[by]] != 0]
-        self.starts = np.searchsorted(keys[by], np.arange((1 << 17) + 1))
-        self.owner, self.place = owner[at[by]], place[at[by]]
-
-    def matches(self, ids: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(query id, id, offset, votes, overlap, bit errors) of the recordings given."""
-        keys = halves(values)
-        lo = self.starts[keys]
-        hits = np.where(np.repeat(values == 0, 2), 0, self.starts[keys + 1] - lo)
-        total = np.concatenate([[0], np.cumsum(hits)])[2 * bounds]
+        self.keys, self.at = keys[by], at[by]
+
+    def matches(self, ids: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query id, id, offset, votes, overlap, bit errors) of the recordings given, some at a time."""
+        keys = keys_of(values)
+        by = np.argsort(keys, kind="stable")  # lookups in order stay in the cache
+        lo, hits = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        lo[by] = np.searchsorted(self.keys, keys[by])
+        hits[by] = np.searchsorted(self.keys, keys[by], side="right") - lo[by]
+        hits[np.repeat(values == 0, 4)] = 0
+        total = np.concatenate([[0], np.cumsum(hits)])[4 * bounds]
         first = 0
         while first < len(ids):  # recordings in runs of bounded hits
             end = max(first + 1, int(np.searchsorted(total, total[first] + HITS, side="right")) - 1)
-            a, b = 2 * bounds[first], 2 * bounds[end]
+            a, b = 4 * bounds[first], 4 * bounds[end]
             count = hits[a:b]
             if count.any():
-                at = np.arange(int(count.sum())) + np.repeat(lo[a:b] - np.cumsum(count) + count, count)
-                spot = np.repeat(np.arange(a, b), count) // 2
+                at = self.at[np.arange(int(count.sum())) + np.repeat(lo[a:b] - np.cumsum(count) + count, count)]
+                spot = np.repeat(np.arange(a, b), count) // 4
                 mine = np.searchsorted(bounds, spot, side="right") - 1
-                yield from self.settle(ids, values, bounds, mine, self.owner[at], spot - bounds[mine] - self.place[at])
+                owner = np.searchsorted(self.bounds, at, side="right") - 1
+                yield self.settle(ids, values, bounds, mine, owner, spot - bounds[mine] - at + self.bounds[owner])
             first = end
 
-    def settle(self, ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, mine: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    def settle(self, ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, mine: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The best offset of each pair that has one."""
         low = int(offset.min())
         wide = int(offset.max()) - low + 1
         key, votes = np.unique((mine * len(self.ids) + owner) * wide + (offset - low), return_counts=True)
-        key, votes = key[votes >= MIN_VOTES], votes[votes >= MIN_VOTES]
-        if not len(key):
-            return
         offset, mine, owner = key % wide + low, key // wide // len(self.ids), key // wide % len(self.ids)
-        by = np.lexsort((offset, np.abs(offset), -votes, owner, mine))
-        mine, owner, offset, votes = mine[by], owner[by], offset[by], votes[by]
-        best = np.concatenate([[True], (mine[1:] != mine[:-1]) | (owner[1:] != owner[:-1])]) & (ids[mine] != self.ids[owner])
-        for r, q, o, v in zip(mine[best].tolist(), owner[best].tolist(), offset[best].tolist(), votes[best].tolist()):
-            x, y = self.values[self.bounds[q] : self.bounds[q + 1]], values[bounds[r] : bounds[r + 1]]
-            a, b = max(0, -o), min(len(x), len(y) - o)
-            if b - a < MIN_OVERLAP:
-                continue
-            wrong = int(np.bitwise_count((x[a:b] ^ y[a + o : b + o]).view(np.uint32)).sum())
-            if wrong <= MAX_ERROR * 32 * (b - a):
-                yield int(self.ids[q]), int(ids[r]), o, v, b - a, wrong
+        a = np.maximum(0, -offset)
+        overlap = np.minimum(self.bounds[owner + 1] - self.bounds[owner], bounds[mine + 1] - bounds[mine] - offset) - a
+        use = np.flatnonzero((overlap >= MIN_OVERLAP) & (ids[mine] != self.ids[owner]))
+        offset, mine, owner, votes, a, overlap = (v[use] for v in (offset, mine, owner, votes, a, overlap))
+        wrong = np.zeros(len(use), np.int64)
+        ends = np.cumsum(overlap)
+        at = 0
+        while at < len(use):  # some comparisons at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HITS, side="right")))
+            n = overlap[at:to]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            x = self.values[np.repeat(self.bounds[owner[at:to]] + a[at:to], n) + step]
+            y = values[np.repeat(bounds[mine[at:to]] + a[at:to] + offset[at:to], n) + step]
+            wrong[at:to] = np.add.reduceat(np.bitwise_count((x ^ y).view(np.uint32)), np.cumsum(n) - n, dtype=np.int64)
+            at = to
+        good = np.flatnonzero(wrong <= MAX_ERROR * 32 * overlap)
+        good = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], owner[good], mine[good]))]
+        best = np.ones(len(good), bool)
+        best[1:] = (mine[good][1:] != mine[good][:-1]) | (owner[good][1:] != owner[good][:-1])
+        good = good[best]
+        return self.ids[owner[good]], ids[mine[good]], offset[good], votes[good], overlap[good], wrong[good]
 
 
 def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
@@ -268,12 +297,13 @@ def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = list(shared.value.matches(batch.column(0).to_numpy(), *ragged(batch.column(1))))
-                columns = zip(*got) if got else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "class_id", "offset", "votes", "overlap", "bit_errors"])
+                for got in shared.value.matches(batch.column(0).to_numpy(), *ragged(batch.column(1))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["id", "class_id", "offset", "votes", "overlap", "bit_errors"])
 
         got = groups.select("class_id", "codes").mapInArrow(run, "id long, class_id long, offset long, votes long, overlap long, bit_errors long")
         found.append(got if parts == 1 else scratch.keep(got))
+        if parts > 1:
+            shared.destroy()
     member = rows.join(groups.select("codes", "class_id"), "codes", "left").select(F.lit("member").alias("kind"), "id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.size("codes").cast("long").alias("n_codes"))
     out = [member, *(f.withColumn("kind", F.lit("match")) for f in found)]
     none = [F.lit(None).cast("long").alias(c) for c in ("n_codes", "offset", "votes", "overlap", "bit_errors")]

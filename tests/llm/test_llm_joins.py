@@ -270,10 +270,29 @@ def test_audio_recall_against_brute_force(spark, sf_dir):
             truth |= {(ids[q], ids[j]) for j in np.flatnonzero(wrong <= audio.MAX_ERROR * 32 * (b - a)) if j != q}
     bounds = np.arange(len(made) + 1) * n
     index = audio.Index(ids[asked], np.concatenate([made[q] for q in asked]), np.arange(len(asked) + 1) * n)
-    found = {(q, i) for q, i, *_ in index.matches(ids, np.concatenate(made), bounds)}
+    found = {(q, i) for got in index.matches(ids, np.concatenate(made), bounds) for q, i in zip(got[0], got[1])}
     assert found <= truth and len(truth) >= 10 and len(found) >= 0.9 * len(truth)
 
 
+def test_audio_of_odd_files():
+    tone = np.sin(np.arange(60_000) * 0.3)
+    for rate in (0, 1, 999, 2**31 - 1):
+        assert audio.decode_wav(wav(tone, 8000)[:24] + rate.to_bytes(4, "little") + wav(tone, 8000)[28:]) is None
+    whole = wav(tone, 8000)
+    assert all(audio.decode_wav(whole[:n]) is None or len(audio.decode_wav(whole[:n])) <= n for n in range(0, 200, 7))
+    assert len(audio.codes(audio.decode_wav(whole))) == len(audio.codes(np.interp(np.arange(0, 60_000, 8000 / audio.RATE), np.arange(60_000), tone)))
+
+
+@pytest.mark.parametrize("rate", [4000, 5512, 8000, 44100])
+def test_audio_is_resampled_alike_in_blocks_and_at_once(monkeypatch, rate):
+    data = wav(np.sin(np.arange(20_000) * 0.11), rate)
+    monkeypatch.setattr(audio, "DECODE", 1 << 30)
+    once = audio.decode_wav(data)
+    monkeypatch.setattr(audio, "DECODE", 777)
+    assert len(once) == int(np.ceil(20_000 * audio.RATE / rate)) or abs(len(once) - 20_000 * audio.RATE / rate) <= audio.RATE / rate + 1
+    assert audio.decode_wav(data) == pytest.approx(once, abs=1e-6)
+
+
 def test_mixing_against_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
