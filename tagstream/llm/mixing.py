@@ -14,9 +14,13 @@ table of rates has one row for each named source and one for the rest, so the
 parameter bounds it.  A named source without rows has no rate; the others' rates
 do not change.
 
-Defined results: an empty table stays empty.  Rows with a null key share one
-draw.  Repeated rows (same key) get the same count each, and their copies stand
-side by side.  Rates above ``MAX_RATE`` are drawn as a sum of equal Poisson
+Defined results: an empty table stays empty.  Rows whose key is null or stands in
+several rows, equal ones among them, draw each for itself: the hash then takes in where
+the row stands in the input (Spark's partition and row number, which are the same
+again when a lost task is repeated, and as long as the files are read alike).  So no
+source is dropped or multiplied as a whole, and such copies are spread like all others.
+The keys that repeat are a table in the shared folder, which Catalyst broadcasts if it
+is small.  Rates above ``MAX_RATE`` are drawn as a sum of equal Poisson
 parts, each with its own hash.
 """
 
@@ -27,6 +31,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frames import Scratch
+
 SEED = 7
 MAX_RATE = 8.0
 STEPS = 48  # P(count >= 48 | rate 8) is below 1e-20, less than a step of the hash
@@ -70,28 +76,40 @@ def rates(docs: DataFrame, weights: dict[str, float], size: int | None = None, s
     return {s: size * share[s] / n for s, n in counts.items()}
 
 
+def fresh(name: str, taken: set[str]) -> str:
+    """A column name that is not taken."""
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, size: int | None = None, key_col: str = "doc_id", source_col: str = "source", copy_col: str | None = "copy") -> DataFrame:
     """Every row as often as its draw says, in a global random order; ``copy_col`` numbers the copies from 0."""
     weights = WEIGHTS if weights is None else weights
     rate = rates(docs, weights, size, source_col)
+    columns, taken = docs.columns, {c.lower() for c in docs.columns}
+    copy = copy_col or fresh("_copy", taken)
+    turn, row, again, name = (fresh(c, taken) for c in ("_turn", "_row", "_again", "_name"))
+    repeated = docs.where(F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias(again)).agg(F.count("*").alias(row)).where(F.col(row) > 1).select(again)
+    repeated = Scratch(docs.sparkSession, "mixing").keep(repeated)
+    out = docs.withColumn(row, F.monotonically_increasing_id())
+    alone = F.col(key_col).isNotNull()
+    if not repeated.isEmpty():
+        out = out.join(repeated, F.col(key_col) == F.col(again), "left")
+        alone &= F.col(again).isNull()
+    out = out.withColumn(name, F.when(alone, F.col(key_col).cast("string")).otherwise(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("null")), F.lit("#"), F.col(row))))
     count: Column = F.lit(0)
     for source, mean in rate.items():
         parts = max(1, math.ceil(mean / MAX_RATE))
         steps = thresholds(mean / parts)
-        drawn = sum((reached(uniform(seed, F.col(key_col), F.lit(p)), steps) for p in range(parts)), F.lit(0))
+        drawn = sum((reached(uniform(seed, F.col(name), F.lit(p)), steps) for p in range(parts)), F.lit(0))
         mine = ~F.coalesce(F.col(source_col).isin(*weights), F.lit(False)) if source == REST and weights else F.lit(True) if source == REST else F.col(source_col) == source
         count = F.when(mine, drawn).otherwise(count)
-    taken = {c.lower() for c in docs.columns}
-    copy, turn = (copy_col or "_copy"), "_turn"
-    while copy_col is None and copy.lower() in taken:
-        copy += "_"
-    while turn.lower() in taken:
-        turn += "_"
-    rest = [c for c in docs.columns if c.lower() != copy.lower()]
+    rest = [c for c in columns if c.lower() != copy.lower()]
     copies = F.explode(F.sequence(F.lit(0), count - 1)).alias(copy)
-    out = docs.where(count > 0).select(*rest, copies)
-    out = out.withColumn(turn, uniform(seed + 1, F.col(key_col), F.col(copy)))
-    out = out.repartition(F.col(turn)).sortWithinPartitions(turn, key_col, copy).drop(turn)
+    out = out.where(count > 0).select(*rest, name, copies)
+    out = out.withColumn(turn, uniform(seed + 1, F.col(name), F.col(copy)))
+    out = out.repartition(F.col(turn)).sortWithinPartitions(turn, name, copy).drop(turn, name)
     return out if copy_col else out.drop(copy)
 
 

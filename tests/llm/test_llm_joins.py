@@ -320,13 +320,29 @@ def test_mixing_reaches_its_weights(spark):
 def test_mixing_edges(spark):
     rows = spark.createDataFrame([(1, "a", None), (1, "a", None), (None, "b", "s")], "doc_id long, text string, source string")
     out = mixing.mix(rows, {"s": 0.5}, size=300).collect()
-    same = collections.Counter((r["doc_id"], r["copy"]) for r in out)
-    assert all(n == 2 for (i, _), n in same.items() if i == 1)
+    counts = collections.Counter((r["doc_id"], r["copy"]) for r in out)
+    assert set(counts.values()) <= {1, 2} and {r["doc_id"] for r in out} == {1, None}
     assert mixing.mix(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(rows, {"s": 1.5})
 
 
+@pytest.mark.parametrize("key,text", [("null", "id"), ("7", "id"), ("id % 10", "id"), ("7", "0"), ("null", "0")])
+def test_mixing_of_null_and_repeated_keys(spark, key, text):
+    """Rows without a key of their own reach the target like others and are spread, even if they are equal."""
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("CASE WHEN id % 2 = 0 THEN id ELSE CAST(" + key + " AS LONG) END AS doc_id", f"CAST({text} AS STRING) AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = mixing.mix(rows, {"b": 0.3})
+    made = out.withColumn("part", F.spark_partition_id()).where("source = 'b'").groupBy("part").count().collect()
+    total = sum(r["count"] for r in made)
+    assert total == pytest.approx(6000, rel=0.06)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in made) < 0.5 * total
+    again = mixing.mix(rows, {"b": 0.3})
+    assert again.exceptAll(out).count() == 0 == out.exceptAll(again).count()
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
 TEXTS = ["Hello  world  \n▁x", "", None, "é漢字😀\x00\t a", "   ", "x" * 3000, "naïve tokenisation of unbelievable 123 words\r\n", "́​…"]
 
 
