@@ -8,11 +8,13 @@ occurrence, so a long text weighs as much as a short one.  Training is
 FTRL-proximal, one labelled text at a time in an order fixed by a hash of its
 id, ``EPOCHS`` times over; scoring is a sparse dot product and a logistic curve.
 
-``fit`` learns from at most ``max_rows`` labelled rows (those with the smallest
-hash of the id), a fixed bound: one task holds them.  Scoring covers all rows.
+``fit`` learns from at most ``max_rows`` labelled texts (those with the smallest
+hash of the id), a fixed bound: one task holds their slots and counts, at most 2 MB
+for a text however long.  Scoring covers all rows.
 
-Defined results: rows without label, text or id are not learned from; of
-several labels for one id the largest counts, and of several texts each does.
+Defined results: rows without label, text or id are not learned from and do not count
+towards ``max_rows``; of several labels for one id the largest counts, and of several
+texts the smallest.
 With no rows to learn from every score is 0.5.  A null or empty text has no
 token and is scored by the intercept.  Repeated rows score alike.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytesops as B
-from .frames import append_columns
+from .frames import append_columns, small_batches
 from .langid import held_out
 
 BITS = 18
@@ -117,36 +119,44 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Model:
     return Model(w.astype(np.float32), intercept)
 
 
-def examples(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    single, pair, bounds = features(data, offsets)
-    for i, label in enumerate(labels):
-        a, b = bounds[i], bounds[i + 1]
-        found = np.concatenate([single[a:b], pair[a : max(a, b - 1)]])
-        slots, counts = np.unique(found, return_counts=True)
-        yield np.append(slots, 1 << BITS), np.append(counts * (SCALE / max(1, b - a)), 1.0), float(label)
+EXAMPLE = "turn long, label double, slots binary, counts binary, tokens long"
+
+
+def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(turn, label, text) rows as slots and counts, so that no task holds the texts of others."""
+    for batch in batches:
+        for first, end, data, off in B.chunks(*B.string_buffers(batch.column(2))):
+            single, pair, bounds = features(data, off)
+            slots, counts = [], []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                some, n = np.unique(np.concatenate([single[a:b], pair[a : max(a, b - 1)]]), return_counts=True)
+                slots.append(some.astype(np.int32).tobytes())
+                counts.append(n.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(slots, pa.binary()), pa.array(counts, pa.binary()), pa.array(np.diff(bounds))], names=["turn", "label", "slots", "counts", "tokens"])
+
+
+def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights, from all examples in the order of ``turn``."""
+    seen = []
+    for batch in batches:
+        for turn, label, slots, counts, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            values = np.frombuffer(counts, np.int32) * (SCALE / max(1, n))
+            seen.append((turn, label, np.append(np.frombuffer(slots, np.int32), np.int32(1 << BITS)), np.append(values, 1.0).astype(np.float32)))
+    model = train([(slots, values, label) for _, label, slots, values in sorted(seen, key=lambda x: x[0])])
+    used = np.flatnonzero(model.weights)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(model.weights[used], model.intercept).astype(np.float64))], names=["slot", "weight"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the labelled rows of ``docs``, at most ``max_rows`` ids of them."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     marks = marks.groupBy("id").agg(F.max("label").alias("label")).withColumn("turn", F.xxhash64("id"))
-    marks = marks.orderBy("turn", "id").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = texts.join(F.broadcast(marks), "id").groupBy("id", "turn", "label").agg(F.min("text").alias("text"))  # max_rows bounds the broadcast side
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
-        for batch in batches:
-            raw, offsets = B.string_buffers(batch.column(2))
-            turn, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, data, off in B.chunks(raw, offsets):
-                seen += zip(turn[a:b], examples(data, off, label[a:b]))
-        model = train([e for _, e in sorted(seen, key=lambda x: x[0])])
-        used = np.flatnonzero(model.weights)
-        slots = np.append(used, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.append(model.weights[used], model.intercept).astype(np.float64))], names=["slot", "weight"])
-
-    kept = rows.select("turn", F.col("label").cast("double").alias("label"), "text").coalesce(1).mapInArrow(learn, "slot long, weight double").toPandas()
+    marks = marks.join(texts.select("id"), "id", "left_semi").orderBy("turn", "id").limit(max_rows)  # only ids are shuffled
+    rows = texts.join(F.broadcast(marks), "id")  # max_rows bounds the broadcast side
+    made = rows.groupBy("id", "turn", "label").agg(F.min("text").alias("text")).select("turn", F.col("label").cast("double").alias("label"), "text").mapInArrow(examples, EXAMPLE)
+    kept = made.repartition(1).mapInArrow(learn, "slot long, weight double").toPandas()
     weights, intercept = np.zeros((1 << BITS) + 1, np.float32), 0.0
     for slot, weight in zip(kept["slot"], kept["weight"]):
         if slot < 0:
