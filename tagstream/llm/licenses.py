@@ -1,9 +1,11 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is brought to words: A-Z in lower case, and runs of
-``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with one space between them.  Texts without
-any string of the gate are done.  In the others, the rules are run of which a keyword, a string in all
-that an alternative matches, occurs.  Keywords and gate are derived from the patterns, so they lose no match;
+``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` with one space between them.  For each
+rule there are keywords, strings one of which stands in all that it matches, and for each
+keyword the beginning of one of its words; both are derived from the pattern, so they lose
+no match.  One pass over the words finds the beginnings: texts without any are done, and
+in the others the rules are run of which a keyword occurs;
 each match is an interval of word positions with the rule's label and priority
 (0 first).  Detections are taken by start, longest first, then by priority; one
 that lies inside an earlier one of the same or a better priority is suppressed.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +234,14 @@ TEXTS = (
 #: What stands between the contract's words, before A-Z are in lower case.
 OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PRIORITIES = 4
+#: Words that say little of a text: others of a keyword are looked for first.
+COMMON = frozenset(
+    "a about above accompanying agreement all an and any anyone applicable are as at available be but buy by can conditions contents copy copying copyright covered day distributed distribution do document either everyone except"
+    " express file following for free from function general good government group have hereby how if implied in includes including information is it its kind later law library made make managed material materials may me meet modify more must"
+    " new no not notice obtain obtained of on only open or org original otherwise our part permitted person please point product products program prohibited promote provide provided public purpose received related"
+    " release released required right rights sell server service shall should some source state stuff such terms than that the their them these they think this to under university use used version versions want was way we what when which"
+    " will with without work worth would writing written you your".split()
+)
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -253,12 +264,14 @@ def without_groups(pattern: str) -> str:
 
 
 def literals(pattern: str) -> list[str]:
-    """For each alternative of a pattern, a string that stands in all that it matches, with the space before its first word."""
+    """For each alternative of a pattern, a string that stands in all that it matches, with the space before the first word and behind the last."""
     out = []
     for alternative in alternatives(pattern):
         plain = re.sub(r"\[[^]]*\]\??|\.\{[^}]*\}\??|[^\n]\?", "\n", without_groups(alternative))
-        first, *others = plain.split("\n")
-        longest = max([f" {first}" if first else "", *others], key=len)
+        pieces = plain.split("\n")
+        pieces[0] = f" {pieces[0]}" if pieces[0] else ""
+        pieces[-1] = f"{pieces[-1]} " if pieces[-1] else ""
+        longest = max(pieces, key=len)
         out += [longest] if longest.strip() else literals(re.fullmatch(r"\(\?:(.*)\)", alternative)[1])
     return out
 
@@ -275,19 +288,24 @@ def rules() -> list[tuple[str, tuple[str, ...], str, str, int, float]]:
     return [*out, *(("", tuple(literals(pattern)), pattern, *rest) for pattern, *rest in TEXTS)]
 
 
-def gate() -> list[str]:
-    """Few strings: a text whose words hold none of these has no base phrase and meets no rule.
+def stems() -> dict[str, str]:
+    """For each keyword, and each base phrase, one of its words, with the space behind it, or how its last word begins.
+    None of these begins another, so at a word there is one at most."""
+    needed = {k for _, keywords, *_ in rules() for k in keywords} | {f" {phrase} " for phrase, _ in BASE}
+    words = {k: [w for w in re.findall("(?<= )[^ ]+ ?", k)] for k in needed}
+    often = Counter(w for found in words.values() for w in set(found))
+    made = {k: max(found, key=lambda w: (w.strip() not in COMMON and not w.strip().isdigit(), often[w], len(w), w)) for k, found in words.items()}
+    short = sorted(set(made.values()), key=len)
+    return {k: next(s for s in short if w.startswith(s)) for k, w in made.items()}
 
-    Each rule needs one string of a set; the words that stand in most of these strings are taken until each string holds one.
-    """
-    needed = {k for first, keywords, *_ in rules() for k in ([first] if first else keywords)} | {phrase for phrase, _ in BASE}
-    stems = {w for k in needed for w in [k.strip(), *k.split()] if len(w) > 4 or w == k.strip()}
-    out = []
-    while needed:
-        best = max(sorted(stems), key=lambda w: (sum(w in k for k in needed), len(w)))
-        out.append(best)
-        needed = {k for k in needed if best not in k}
-    return out
+
+def any_of(words: set[str]) -> str:
+    """A pattern for any of some words, by their letters one after the other."""
+    parts = []
+    for c in sorted({w[0] for w in words if w}):
+        rest = {w[1:] for w in words if w[:1] == c}
+        parts.append(c if "" in rest else c + any_of(rest))
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
 def spaces(text: Column) -> Column:
@@ -299,20 +317,18 @@ def bounded(pattern: str) -> str:
 
 
 def detections(words: Column, rule: Column) -> Column:
-    """(start, -end, priority, label, sure) of a rule's matches: the places are told by what ``split`` leaves between them."""
-    between, found = F.split(words, rule["pattern"]), F.regexp_extract_all(words, rule["pattern"], F.lit(0))
+    """(start, -end, priority, label, sure) of a rule's matches, which are put between marks that no word holds."""
+    parts = F.split(F.regexp_replace(words, rule["pattern"], F.lit("\x01$0\x02")), F.lit("[\x01\x02]"))
     hits = "array<struct<start:int,back:int,priority:int,label:string,sure:double>>"
-    kind = f"struct<at:int,out:{hits}>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(hits).alias("out"))
+    kind = f"struct<at:int,odd:boolean,out:{hits}>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(hits).alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + spaces(pair["between"])
-        end = at + spaces(pair["found"])
-        one = F.struct(at.alias("start"), (-end - 1).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["sure"].alias("sure"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + spaces(part)
+        one = F.struct(acc["at"].alias("start"), (-end - 1).alias("back"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["sure"].alias("sure"))
+        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")).cast(kind)
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(b.alias("between"), f.alias("found")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start.cast(kind), step, lambda acc: acc["out"])).otherwise(F.array().cast(hits))
+    return F.when(F.size(parts) > 1, F.aggregate(parts, start.cast(kind), step, lambda acc: acc["out"])).otherwise(F.array().cast(hits))
 
 
 def survivors(found: Column) -> Column:
@@ -335,30 +351,32 @@ def scan(docs: DataFrame, text_col: str = "text", prefilter: bool = True) -> Dat
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     taken = {c.lower() for c in docs.columns}
     hold = "_words"
-    while {f"{hold}{s}" for s in ("", "_low", "_norm", "_n", "_spaced", "_scan", "_hit")} & taken:
+    while {f"{hold}{s}" for s in ("", "_low", "_norm", "_stems", "_n", "_spaced", "_scan", "_hit")} & taken:
         hold += "_"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.col(hold + "_low")  # a column of its own: inside the conditions it would be computed for each of them
-    held_words = F.from_json(F.lit(json.dumps(gate())), "array<string>")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = F.translate(F.col(hold + "_norm"), upper, upper.lower())
+    begins = stems()
     if prefilter:
-        words = F.when(F.exists(held_words, lambda k: F.contains(low, k)), words)
-    by_keyword: dict[tuple[str, ...], list[dict]] = {}
+        words = F.when(F.size(hold + "_stems") > 0, words)
+    by_stem: dict[str, list[dict]] = {}
     for first, keywords, pattern, label, priority, sure in rules():
-        by_keyword.setdefault(keywords, []).append({"also": first, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
-    shape = "array<struct<keywords:array<string>,rules:array<struct<also:string,pattern:string,label:string,priority:int,sure:double>>>>"
-    book = F.from_json(F.lit(json.dumps([{"keywords": k, "rules": r} for k, r in by_keyword.items()])), shape)  # a constant of the plan
+        for begin in sorted({begins[k] for k in keywords}) if prefilter else [""]:
+            by_stem.setdefault(begin, []).append({"also": first, "keywords": keywords, "pattern": bounded(pattern), "label": label, "priority": priority, "sure": sure})
+    shape = "map<string,array<struct<also:string,keywords:array<string>,pattern:string,label:string,priority:int,sure:double>>>"
+    book = F.from_json(F.lit(json.dumps(by_stem)), shape)  # a constant of the plan
     out = docs.withColumn(hold + "_norm", F.trim(F.regexp_replace(text, OTHER, " ")))
-    out = out.withColumn(hold + "_low", F.lower(hold + "_norm"))
+    out = out.withColumn(hold + "_low", F.concat(F.lit(" "), F.lower(hold + "_norm"), F.lit(" ")))
+    out = out.withColumn(hold + "_stems", F.array_distinct(F.regexp_extract_all(hold + "_low", F.lit(f" (?=({any_of(set(begins.values()))}))"))))
     count = F.when(F.col(hold + "_norm") == "", F.lit(0)).otherwise(spaces(F.col(hold + "_norm")) + 1).cast("long")
     out = out.withColumns({hold + "_n": count, hold: words})
-    out = out.withColumn(hold + "_spaced", F.concat(F.lit(" "), F.col(hold)))
+    out = out.withColumn(hold + "_spaced", F.concat(F.lit(" "), F.col(hold), F.lit(" ")))
     count, held = F.col(hold + "_n"), F.col(hold)
     spaced = F.col(hold + "_spaced")
-    open_ = F.filter(book, lambda b: F.exists(b["keywords"], lambda k: F.contains(spaced, k))) if prefilter else book
-    wanted = F.flatten(F.transform(open_, lambda b: b["rules"]))
-    wanted = F.filter(wanted, lambda r: F.contains(spaced, r["also"])) if prefilter else wanted
+    wanted = book[""]
+    if prefilter:  # a rule that is there twice finds everything twice, which the second time lies inside the first
+        wanted = F.flatten(F.transform(hold + "_stems", lambda begin: book[begin]))
+        wanted = F.filter(wanted, lambda r: F.contains(spaced, r["also"]) & F.exists(r["keywords"], lambda k: F.contains(spaced, k)))
     found = F.flatten(F.transform(wanted, lambda r: detections(held, r)))
     out = out.withColumn(hold + "_scan", F.when(held.isNotNull(), survivors(found)))
     phrases = []
@@ -366,8 +384,8 @@ def scan(docs: DataFrame, text_col: str = "text", prefilter: bool = True) -> Dat
         left = F.split(held, bounded(phrase))
         n = F.size(left) - 1
         extra = phrase.count(" ")
-        phrases.append(F.struct(n.alias("n"), spaces(left[0]).alias("first"), (spaces(held) - extra - spaces(F.element_at(left, -1))).alias("last"), F.lit(label).alias("label")))
-    out = out.withColumn(hold + "_hit", F.when(held.isNotNull(), F.filter(F.array(*phrases), lambda p: p["n"] > 0)))
+        phrases.append(F.when(F.contains(spaced, F.lit(f" {phrase} ")), F.struct(n.alias("n"), spaces(left[0]).alias("first"), (spaces(held) - extra - spaces(F.element_at(left, -1))).alias("last"), F.lit(label).alias("label"))))
+    out = out.withColumn(hold + "_hit", F.when(held.isNotNull(), F.array_compact(F.array(*phrases))))
     hit, scanned = F.col(hold + "_hit"), F.col(hold + "_scan")
     base = F.coalesce(F.array_sort(F.array_distinct(hit["label"])), F.array().cast("array<string>"))
     labels = F.array_sort(F.array_union(base, F.coalesce(scanned["labels"], F.array().cast("array<string>"))))
