@@ -9,6 +9,7 @@ from ..functions import text
 
 NO_BLOCKS = 999.0
 NOT_RUN = -999.0
+SPREAD = 4096
 
 
 def tokens(blocks: Column) -> Column:
@@ -54,11 +55,16 @@ def match(readings: DataFrame, entries: DataFrame, tokens_col: str = "tokens") -
     tail = F.when(F.size(t) == 3, text.utrim(F.element_at(t, 3))).otherwise(text.joined_tail(t, 3))
     found = {"ma_ao": ("model", text.utrim(F.element_at(t, 1))), "size": ("size", text.utrim(F.element_at(t, 2))), "color": ("color", tail)}
     out = readings.withColumns({f"_{name}": F.when(enough, F.coalesce(token, F.lit(""))) for name, (_, token) in found.items()})
+    # One table for the three probes, so that it is made and sent once: a bit for each list that holds the value.
+    bits = {kind: 1 << i for i, (kind, _) in enumerate(found.values())}
+    listed = entries.groupBy("value").agg(F.bit_or(F.coalesce(*[F.when(F.col("kind") == kind, bit) for kind, bit in bits.items()], F.lit(0))).alias("lists"))
+    nowhere = F.concat(F.lit("\0"), (F.rand(1) * SPREAD).cast("int"))  # short readings probe for nothing, spread over partitions
     for name, (kind, _) in found.items():
-        listed = entries.where(F.col("kind") == kind).select(F.col("value").alias(f"_{name}_value"))
-        out = out.join(listed, F.lower(f"_{name}") == F.col(f"_{name}_value"), "left")
-    out = out.withColumns({name: F.when(F.col(f"_{name}_value").isNotNull(), F.col(f"_{name}")).otherwise(F.lit("")) for name in found})
-    return out.drop(*[f"_{name}{s}" for name in found for s in ("", "_value")])
+        held = listed.select(F.col("value").alias(f"_{name}_value"), F.col("lists").alias(f"_{name}_lists"))
+        out = out.withColumn(f"_{name}_probe", F.coalesce(F.lower(f"_{name}"), nowhere))
+        out = out.join(held, F.col(f"_{name}_probe") == F.col(f"_{name}_value"), "left")
+    out = out.withColumns({name: F.when(F.col(f"_{name}").isNotNull() & F.col(f"_{name}_lists").bitwiseAND(bits[kind]).eqNullSafe(bits[kind]), F.col(f"_{name}")).otherwise(F.lit("")) for name, (kind, _) in found.items()})
+    return out.drop(*[f"_{name}{s}" for name in found for s in ("", "_value", "_lists", "_probe")])
 
 
 def accepted(matched: DataFrame) -> DataFrame:

@@ -278,15 +278,15 @@ def _(read):
     return labels(read).select(*KEY, G.label_angle(F.col("angle"), F.col("w"), F.col("h")).alias("r")).select(*KEY, "r.*")
 
 
-FLIP = f"""{ANGLE}, q AS (SELECT *, degrees(atan2((y1 - y0)::DOUBLE, (x1 - x0)::DOUBLE)) AS qr FROM n),
+FLIP = f"""{ANGLE}, q AS (SELECT *, atan2((y1 - y0)::DOUBLE, (x1 - x0)::DOUBLE) * (180.0::DOUBLE / pi()) AS qr FROM n),
   d AS (SELECT *, label_angle - qr AS raw_delta FROM q),
   f AS (SELECT *, CASE WHEN raw_delta <= -180 THEN raw_delta + 360 WHEN raw_delta > 180 THEN raw_delta - 360 ELSE raw_delta END AS delta FROM d)"""
 
 
-@query("flip_decision", f"WITH {FLIP} SELECT {KEYS}, round(qr, 2) AS qr_angle, abs(delta) > 90 AS flip FROM f")
+@query("flip_decision", f"WITH {FLIP} SELECT {KEYS}, qr::FLOAT AS qr_angle, abs(delta) > 90 AS flip FROM f")
 def _(read):
     rows = labels(read).withColumn("label", G.label_angle(F.col("angle"), F.col("w"), F.col("h"))["angle"]).withColumn("qr", G.qr_angle(F.col("points")))
-    return rows.select(*KEY, F.round(F.degrees(F.atan2((F.col("y1") - F.col("y0")).cast("double"), (F.col("x1") - F.col("x0")).cast("double"))), 2).alias("qr_angle"), G.needs_flip(F.col("label"), F.col("qr")).alias("flip"))
+    return rows.select(*KEY, F.col("qr").alias("qr_angle"), G.needs_flip(F.col("label"), F.col("qr")).alias("flip"))
 
 
 WINDOW = f"""{ANGLE}, s AS (SELECT *, (CASE WHEN swap THEN h ELSE w END)::INT AS lw, (CASE WHEN swap THEN w ELSE h END)::INT AS lh FROM n),
@@ -304,14 +304,13 @@ def _(read):
     return windowed(read).select(*KEY, "v.*")
 
 
-@query("affine_points", f"""WITH {WINDOW} SELECT {KEYS}, round(ca * x0 + sa * y0 + (1 - ca) * cx - sa * cy - x, 2) + 0.0 AS px, round(-sa * x0 + ca * y0 + sa * cx + (1 - ca) * cy - y, 2) + 0.0 AS py FROM v""")
+SIXTEENTHS = "round_even(({})::FLOAT::DOUBLE * 16, 0)::BIGINT"
+
+
+@query("affine_points", f"""WITH {WINDOW} SELECT {KEYS}, {SIXTEENTHS.format('ca * x0 + sa * y0 + ((1 - ca) * cx - sa * cy - x)')} AS px, {SIXTEENTHS.format('-sa * x0 + ca * y0 + (sa * cx + (1 - ca) * cy - y)')} AS py FROM v""")
 def _(read):
-    t, v = F.col("t"), F.col("v")
-    x, y = F.col("x0").cast("double"), F.col("y0").cast("double")
-    exact = windowed(read).withColumn("moved", G.transformed(F.col("points"), t, v["x"], v["y"]))
-    # The stored point is a float; the query shows the double it came from, as rounding a float need not round alike.
-    near = lambda c, stored: F.when(F.abs(c - stored) < 1e-3, F.round(c, 2) + 0.0)
-    return exact.select(*KEY, near(t["a"] * x + t["b"] * y + t["tx"] - v["x"], F.col("moved")[0]["x"]).alias("px"), near(-t["b"] * x + t["a"] * y + t["ty"] - v["y"], F.col("moved")[0]["y"]).alias("py"))
+    moved = windowed(read).withColumn("moved", G.transformed(F.col("points"), F.col("t"), F.col("v.x"), F.col("v.y")))
+    return moved.select(*KEY, *[F.rint(F.col("moved")[0][c].cast("double") * 16).cast("long").alias(f"p{c}") for c in "xy"])
 
 
 @query("flip_points", f"SELECT {KEYS}, (w - x0)::FLOAT AS fx0, (h - y0)::FLOAT AS fy0, (w - x1)::FLOAT AS fx1, (h - y1)::FLOAT AS fy1 FROM {LABELS}")
@@ -352,23 +351,56 @@ def _(read):
     return frames(read).select(*KEY, dragged.alias("r")).select(*KEY, "r.*")
 
 
-@query("largest_contour", f"""WITH r AS (SELECT {KEYS}, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_quantity > 0)
-  SELECT {KEYS}, l_quantity AS area FROM r WHERE n = 1""")
-def _(read):
-    from pyspark.sql import Window
+def pictures(read, table: str, key: str, draw: Callable, look: Callable, schema: str) -> DataFrame:
+    """What ``look`` says of the stack of pictures that ``draw`` makes of an array of keys, a row for each key."""
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            keys = part["k"].to_numpy()
+            for at in range(0, len(keys), 2000):
+                yield pd.DataFrame(look(keys[at : at + 2000], draw(keys[at : at + 2000])), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return read(table).select(F.col(key).alias("k")).mapInPandas(run, schema)
+
+
+def two_blocks(keys):
+    """Two filled blocks on a 16 x 24 picture, which do not touch, their sizes from the key; the upper one has a hole if there is room."""
+    import numpy as np
+
+    out = np.zeros((len(keys), 24, 16), np.uint8)
+    for picture, k in zip(out, keys):
+        picture[1 : 4 + k % 7, 1 : 4 + k % 9] = 255
+        if k % 2:
+            picture[2 : 3 + k % 7, 2 : 3 + k % 9] = 0
+        picture[13 : 16 + k // 5 % 7, 2 : 5 + k // 3 % 9] = 255
+    return out
+
 
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey", "l_suppkey")
-    rows = read("lineitem").where("l_quantity > 0").withColumn("n", F.row_number().over(order)).where("n = 1")
-    return rows.select(*KEY, F.col("l_quantity").alias("area"))
+def largest_blocks(keys, stack):
+    blobs = imaging.Blobs(stack)
+    return [(k, blobs.area[blobs.runs.label[runs[0]]], *blobs.bound(runs)) for k, runs in zip(keys, blobs.largest())]
+
+
+@query("largest_contour", """WITH s AS (SELECT o_orderkey AS k, (2 + k % 9) * (2 + k % 7) AS a, (2 + k // 3 % 9) * (2 + k // 5 % 7) AS b FROM orders)
+  SELECT k, greatest(a, b)::DOUBLE AS area, (CASE WHEN a >= b THEN 1 ELSE 2 END)::INT AS x, (CASE WHEN a >= b THEN 1 ELSE 13 END)::INT AS y,
+    (CASE WHEN a >= b THEN 3 + k % 9 ELSE 3 + k // 3 % 9 END)::INT AS w, (CASE WHEN a >= b THEN 3 + k % 7 ELSE 3 + k // 5 % 7 END)::INT AS h FROM s""")
+def _(read):
+    return pictures(read, "orders", "o_orderkey", two_blocks, largest_blocks, "k long, area double, x int, y int, w int, h int")
 
 
 @query("pixel_threshold", f"""SELECT {KEYS}, round_even(0.114 * (l_orderkey % 256) + 0.587 * (l_partkey % 256) + 0.299 * (l_suppkey * 3 % 256), 0)::INT AS gray,
   CASE WHEN round_even(0.114 * (l_orderkey % 256) + 0.587 * (l_partkey % 256) + 0.299 * (l_suppkey * 3 % 256), 0) > 180 THEN 255 ELSE 0 END AS bright FROM lineitem""")
 def _(read):
-    channel = lambda k, c: F.lit(k).cast("decimal(4,3)") * (c % 256).cast("decimal(3,0)")
-    mixed = channel(0.114, F.col("l_orderkey")) + channel(0.587, F.col("l_partkey")) + channel(0.299, F.col("l_suppkey") * 3)
-    gray = F.bround(mixed, 0).cast("int")
-    return read("lineitem").select(*KEY, gray.alias("gray")).withColumn("bright", F.when(F.col("gray") > 180, 255).otherwise(0))
+    import numpy as np
+
+    def run(parts):
+        for part in parts:
+            pixels = np.stack([part["l_orderkey"] % 256, part["l_partkey"] % 256, part["l_suppkey"] * 3 % 256], axis=-1).astype(np.uint8)[:, None, :]
+            gray = imaging.gray(pixels)
+            yield part.assign(gray=gray[:, 0].astype(np.int32), bright=imaging.threshold(gray, 180)[:, 0].astype(np.int32))
+
+    return read("lineitem").select(*[F.col(c).cast("long").alias(c) for c in KEY]).mapInPandas(run, ", ".join(f"{c} long" for c in KEY) + ", gray int, bright int")
 
 
 def outcome_of_event() -> Column:
@@ -431,6 +463,8 @@ def synthetic_frames(read) -> DataFrame:
     return read("orders").select(F.col("o_orderkey").alias("frame_id")).mapInPandas(run, "frame_id long, height int, width int, data binary")
 
 
-@query("imaging_pipeline")
+# The blur takes one pixel off each side; the rectangle runs through pixel centres.
+@query("imaging_pipeline", """WITH r AS (SELECT o_orderkey AS k, k % 17 + 5 AS x, k % 11 + 5 AS y, k % 13 + 6 AS w, k % 7 + 6 AS h FROM orders)
+  SELECT k AS frame_id, (x + (w - 1) / 2)::FLOAT AS cx, (y + (h - 1) / 2)::FLOAT AS cy, (h - 1)::FLOAT AS w, (w - 1)::FLOAT AS h, 90::FLOAT AS angle, x::INT AS bx, y::INT AS by, w::INT AS bw, h::INT AS bh FROM r""")
 def _(read):
     return imaging.detect_frames(synthetic_frames(read))

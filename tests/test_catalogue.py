@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tagstream.plans import catalogue, streams  # noqa: F401
+from tagstream.plans import catalogue, readings, streams  # noqa: F401
 
 
 @pytest.fixture(scope="module")
