@@ -11,10 +11,23 @@ from ..streaming import state
 from .catalogue import QUERIES, SQL, outcome_of_event
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of this machine on a local master, as in tests, and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir is not set: the stream's output and log need a folder that all executors share")
+    return (folder or "file:///tmp/tagstream-checkpoints").rstrip("/")
+
+
 def completed(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
     """What the operator gives for all events that are there, kept in the shared folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/tagstream-checkpoints"
-    root = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    made = jvm.org.apache.hadoop.fs.Path(root)
+    files = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(made)
+    files.deleteOnExit(made)
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A stream reads a folder: the file's own, with the file's name as filter.
