@@ -420,6 +420,24 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(last)
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, Copy string, _gone long"
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and clashing names pass through; an empty table stays empty."""
+    plain = "the quick brown fox jumps over the lazy dog and runs into the deep dark wood again "
+    rows = [(i, f"{plain} number {i} {chr(97 + i % 26) * 5} {i * i} {plain[: i % 40]} {i} {i + 1} {i + 2}", "en", f"src{i % 5}", 1, "c", 1) for i in range(60)]
+    rows += [(None, None, None, None, None, None, None), (None, plain * 3, "en", None, None, None, None), (100, "", "en", "src0", 0, "c", 1), (101, None, "en", "src0", 0, "c", 1)]
+    rows += [(102, "long words of a text " * 20_000, None, "src1", 1, "c", 1), rows[3], rows[3], (103, rows[4][1], "en", "src4", 1, "c", 1), (104, f"{plain} token = abcdefgh12345678 that is what it says here", "en", "src2", 1, "c", 1)]
+    for name, some in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, DOCUMENTS).write.parquet(str(folder / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert bool(out) == bool(some)
+        assert all(r["lossless"] and r["n_tokens"] == len(r["ids"]) for r in out)
+        assert not {r["doc_id"] for r in out} & {100, 101, 103}  # no language, or a copy of a smaller id
+
+
 def test_registered():
     names = sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
