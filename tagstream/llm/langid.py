@@ -15,7 +15,8 @@ spaces one space, two spaces around the text.  Non-ASCII bytes are kept.
 Defined results: null text or text without a letter gives ``und`` and score 0;
 text with letters but no known 4-gram gives the language with most training
 text and score 0.  Rows without text or language are not learned from.  A
-corpus with nothing to learn from gives ``und`` everywhere.  Texts are read
+corpus with nothing to learn from gives ``und`` everywhere, and one with more than
+``MOST_LANGUAGES`` distinct languages is an error.  Texts are read
 whole; repeated rows count as often as they stand there.
 """
 

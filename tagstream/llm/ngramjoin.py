@@ -25,6 +25,13 @@ of the parities of its shingles' slots, about one slot for each shingle (a longe
 one is folded to compare it); two bitmaps differ in no more bits than the sets in
 shingles, so n + n' less that number is at least twice what is shared.  What the bound leaves is verified on whole sets; no pair is lost.
 
+Words and shingles are told apart by 64-bit hashes that mix every eight bytes (BLAKE2b for
+long words), so no pattern of bytes makes two of them equal; by chance two given shingles
+do with probability 2 ** -64, and a false or a lost link takes several such pairs.
+
+Entries of prefix shingles are dealt to tasks packed and sorted there, except those of
+shingles whose slot counts more than ``HOT``, which Spark combines before the shuffle.
+
 The components are found by alternating large-star and small-star steps on
 tables in the shared folder.  To the driver come only the slot counts and bit
 tables, of fixed size.
@@ -54,6 +61,7 @@ WORDS = 5
 PERCENT = 80
 SLOT_BITS = 20  # slots that count shingles
 BIT_BITS = 25  # bits that tell which ids are wanted
+SIFTED = 1 << (BIT_BITS - 2)  # ids up to which the bits are of use
 BLOCK_BITS = 10  # rows in which either table travels
 MOST_MATCHES = 4
 VERIFY_COST = 8.0  # a verification against one entry read
@@ -363,18 +371,24 @@ def without_copies(known: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set): the whole sets of the wanted ids, and of a few others; the texts are not shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(ids))
+    """(id, set): the whole sets of the wanted ids, and of a few others.  Texts are not shuffled as long as the bits tell most
+    ids apart; beyond ``SIFTED`` ids a join picks them."""
+    known = docs.where("id IS NOT NULL")
+    few = ids.count() <= SIFTED
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(ids) if few else None)
+    if not few:
+        known = known.join(ids.distinct(), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(marked(batch.column(0).to_numpy(), bits.value)))
+            if bits.value is not None:
+                batch = batch.filter(pa.array(marked(batch.column(0).to_numpy(), bits.value)))
             for first, end, data, off in B.chunks(*B.string_buffers(batch.column(1)), CHUNK):
                 h, bounds = shingles(data, off, words)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), sets], names=["id", "set"])
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "id long, set binary")
+    return known.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

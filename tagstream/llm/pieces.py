@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from . import bytesops as B
 from .frames import append_columns
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # the query takes another from ``tagstream.pieces.model`` of the session
 ALPHA = 1.5
 SEED = 1
 SPACE = 32
@@ -376,4 +376,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode(docs).select("doc_id", "n_tokens", "lossless", "ids")
+    return encode(docs, model=spark.conf.get("tagstream.pieces.model", MODEL)).select("doc_id", "n_tokens", "lossless", "ids")

@@ -67,6 +67,7 @@ def corpus(seed):
 @pytest.mark.parametrize("words,percent,small,block,hot", [(4, 85, 128, 512, 1 << 16), (5, 80, 6, 7, 3), (2, 60, 4, 5, 0)])
 def test_ngram_join_against_brute_force(spark, monkeypatch, words, percent, small, block, hot):
     monkeypatch.setattr(ngramjoin, "HOT", hot)
+    monkeypatch.setattr(ngramjoin, "SIFTED", hot)
     monkeypatch.setattr(ngramjoin, "SMALL", small)
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     rows = corpus(words)
