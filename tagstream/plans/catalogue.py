@@ -382,6 +382,47 @@ def largest_blocks(keys, stack):
     return [(k, blobs.area[blobs.runs.label[runs[0]]], *blobs.bound(runs)) for k, runs in zip(keys, blobs.largest())]
 
 
+@query("handle_hit", f"""WITH b AS (SELECT {KEYS}, gx AS x, gy AS y, gw AS w, gh AS h, gx + l_suppkey % (gw + 10) - 5 AS px, gy + l_partkey % (gh + 10) - 5 AS py FROM {FRAMES}),
+  i AS (SELECT *, px BETWEEN x AND x + 9 AND py BETWEEN y + h // 2 - 5 AND y + h // 2 + 4 AS l, px BETWEEN x + w - 10 AND x + w - 1 AND py BETWEEN y + h // 2 - 5 AND y + h // 2 + 4 AS r,
+    px BETWEEN x + w // 2 - 5 AND x + w // 2 + 4 AND py BETWEEN y AND y + 9 AS t, px BETWEEN x + w // 2 - 5 AND x + w // 2 + 4 AND py BETWEEN y + h - 10 AND y + h - 1 AS b FROM b)
+  SELECT {KEYS}, CASE WHEN l THEN 'L' WHEN r THEN 'R' WHEN t THEN 'T' WHEN b THEN 'B' END AS edge FROM i""")
+def _(read):
+    box = F.struct(F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("gw").alias("w"), F.col("gh").alias("h"))
+    px, py = F.col("gx") + F.col("l_suppkey") % (F.col("gw") + 10) - 5, F.col("gy") + F.col("l_partkey") % (F.col("gh") + 10) - 5
+    return frames(read).select(*KEY, G.hit_edge(box, px, py).alias("edge"))
+
+
+def squares(keys):
+    """A picture of 5 x 5 for each key."""
+    import numpy as np
+
+    i, j = np.arange(1, 6)[None, :, None], np.arange(5)[None, None, :]
+    k = keys[:, None, None]
+    return ((k * i + 31 * j * (k % 7 + 1)) % 256).astype(np.uint8)
+
+
+@query("pixel_blur", """WITH c AS (SELECT o_orderkey AS k, [1, 4, 6, 4, 1] AS w FROM orders)
+  SELECT k, ((list_sum(list_transform(range(25), lambda t: w[t // 5 + 1] * w[t % 5 + 1] * ((k * (t // 5 + 1) + 31 * (t % 5) * (k % 7 + 1)) % 256))) + 128) // 256)::INT AS middle FROM c""")
+def _(read):
+    return pictures(read, "orders", "o_orderkey", squares, lambda keys, stack: list(zip(keys, imaging.blur(stack)[:, 2, 2].astype(int))), "k long, middle int")
+
+
+@query("min_area_rectangle", """WITH s AS (SELECT o_orderkey AS k, 1 + k % 9 AS a, 1 + k // 3 % 7 AS b, 1 + k % 4 AS m FROM orders)
+  SELECT k, (a - b * m) / 2 AS cx, (b + a * m) / 2 AS cy, round(sqrt(a * a + b * b), 3) AS w, round(m * sqrt(a * a + b * b), 3) AS h, round(degrees(atan2(b, a)), 3) AS angle FROM s""")
+def _(read):
+    import numpy as np
+
+    def corners(keys):
+        a, b, m = 1 + keys % 9, 1 + keys // 3 % 7, 1 + keys % 4
+        return np.stack([np.stack([0 * a, 0 * a], 1), np.stack([a, b], 1), np.stack([a - b * m, b + a * m], 1), np.stack([-b * m, a * m], 1)], 1)
+
+    def look(keys, points):
+        found = [imaging.min_area_rect(p) for p in points]
+        return [(k, round(r.cx, 3), round(r.cy, 3), round(r.w, 3), round(r.h, 3), round(r.angle, 3)) for k, r in zip(keys, found)]
+
+    return pictures(read, "orders", "o_orderkey", corners, look, "k long, cx double, cy double, w double, h double, angle double")
+
+
 @query("largest_contour", """WITH s AS (SELECT o_orderkey AS k, (2 + k % 9) * (2 + k % 7) AS a, (2 + k // 3 % 9) * (2 + k // 5 % 7) AS b FROM orders)
   SELECT k, greatest(a, b)::DOUBLE AS area, (CASE WHEN a >= b THEN 1 ELSE 2 END)::INT AS x, (CASE WHEN a >= b THEN 1 ELSE 13 END)::INT AS y,
     (CASE WHEN a >= b THEN 3 + k % 9 ELSE 3 + k // 3 % 9 END)::INT AS w, (CASE WHEN a >= b THEN 3 + k % 7 ELSE 3 + k // 5 % 7 END)::INT AS h FROM s""")
