@@ -282,20 +282,20 @@ def half_turn(image: np.ndarray) -> np.ndarray:
     return image[::-1, ::-1]
 
 
+_SQUARE = np.array([(0, 0), (1, 0), (0, 1), (1, 1)])
+_DISC = np.array([(x, y) for x in range(-4, 5) for y in range(-4, 5) if x * x + y * y <= 16])
+
+
 def mark(image: np.ndarray, points: np.ndarray) -> np.ndarray:
     """The code's outline (red, 2 wide) and corners (green discs of radius 4): the reader sees them."""
     out = to_bgr(image).copy()
-    height, width = out.shape[:2]
-    for p, q in zip(points, np.roll(points, -1, axis=0)):
-        n = int(max(abs(q - p).max(), 1))
-        line = np.rint(p + (q - p) * np.linspace(0, 1, n + 1)[:, None]).astype(int)
-        for dx, dy in ((0, 0), (1, 0), (0, 1), (1, 1)):
-            out[np.clip(line[:, 1] + dy, 0, height - 1), np.clip(line[:, 0] + dx, 0, width - 1)] = (0, 0, 255)
-    for x, y in points.tolist():
-        left, top = int(max(0, x - 4)), int(max(0, y - 4))
-        part = out[top : int(y) + 5, left : int(x) + 5]
-        ys, xs = np.mgrid[top : top + part.shape[0], left : left + part.shape[1]]
-        part[(xs - x) ** 2 + (ys - y) ** 2 <= 16] = (0, 255, 0)
+    most = np.array(out.shape[1::-1]) - 1
+    lines = [np.rint(p + (q - p) * np.linspace(0, 1, int(max(abs(q - p).max(), 1)) + 1)[:, None]).astype(int) for p, q in zip(points, np.roll(points, -1, axis=0))]
+    line = np.minimum(np.maximum(np.concatenate(lines)[:, None, :] + _SQUARE, 0), most).reshape(-1, 2)
+    out[line[:, 1], line[:, 0]] = (0, 0, 255)
+    disc = (points.astype(int)[:, None, :] + _DISC).reshape(-1, 2)
+    disc = disc[((disc >= 0) & (disc <= most)).all(axis=1)]
+    out[disc[:, 1], disc[:, 0]] = (0, 255, 0)
     return out
 
 
