@@ -58,6 +58,8 @@ QUERIES = 8192
 MIN_OVERLAP = 20
 MAX_ERROR = 0.15
 HITS = 2_000_000
+TOGETHER = 16  # recordings in memory at a time
+FRAMES = 512  # frames transformed at a time
 CODES = T.StructField("codes", T.ArrayType(T.IntegerType(), False))
 
 #: (shape, first pitch class, pitch classes, frames, outer threshold): the inner threshold is 0.
@@ -136,36 +138,33 @@ _HANN = np.hanning(FRAME).astype(np.float32)
 
 
 def chroma(x: np.ndarray) -> np.ndarray:
-    """Frames by 12 pitch classes, smoothed over time, each of length 1 or, in silence, 0."""
-    if len(x) < FRAME:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float32), FRAME)[::HOP]
-    parts = []
-    for at in range(0, len(frames), 512):
-        power = np.abs(np.fft.rfft(frames[at : at + 512] * _HANN, axis=1)) ** 2 / (FRAME * FRAME)
-        parts.append(power @ _BINS)
-    power = np.concatenate(parts)
-    if len(power) < len(SMOOTH):
-        return np.zeros((0, 12))
-    out = sum(w * power[k : len(power) - len(SMOOTH) + 1 + k] for k, w in enumerate(SMOOTH / SMOOTH.sum()))
-    size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    """Of recordings of one length (rows): frames by 12 pitch classes, smoothed over time, each of length 1 or, in silence, 0."""
+    if x.shape[1] < FRAME:
+        return np.zeros((len(x), 0, 12))
+    frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float32), FRAME, axis=1)[:, ::HOP]
+    step = max(1, FRAMES // len(x))
+    power = np.concatenate([np.abs(np.fft.rfft(frames[:, at : at + step] * _HANN, axis=2)) ** 2 / (FRAME * FRAME) @ _BINS for at in range(0, frames.shape[1], step)], axis=1)
+    n = power.shape[1] - len(SMOOTH) + 1
+    if n < 1:
+        return np.zeros((len(x), 0, 12))
+    out = sum(w * power[:, k : n + k] for k, w in enumerate(SMOOTH / SMOOTH.sum()))
+    size = np.sqrt((out * out).sum(axis=2, keepdims=True))
     return np.where(size > SILENCE, out / np.maximum(size, 1e-30), 0.0)
 
 
-def codes(x: np.ndarray | None) -> np.ndarray:
-    """The fingerprint: one 32-bit integer for each position of the window."""
-    picture = chroma(x) if x is not None else np.zeros((0, 12))
-    n = len(picture) - WIDTH + 1
+def codes(x: np.ndarray) -> np.ndarray:
+    """The fingerprints of recordings of one length (rows): one 32-bit integer for each position of the window."""
+    picture = chroma(x)
+    n = picture.shape[1] - WIDTH + 1
     if n < 1:
-        return np.zeros(0, np.int32)
-    whole = np.zeros((len(picture) + 1, 13))
-    whole[1:, 1:] = picture.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.zeros((len(x), 0), np.int32)
+    whole = np.zeros((len(x), picture.shape[1] + 1, 13))
+    whole[:, 1:, 1:] = picture.cumsum(axis=1).cumsum(axis=2)
 
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        return whole[at + t1, c1] - whole[at + t0, c1] - whole[at + t1, c0] + whole[at + t0, c0]
+        return whole[:, t1 : t1 + n, c1] - whole[:, t0 : t0 + n, c1] - whole[:, t1 : t1 + n, c0] + whole[:, t0 : t0 + n, c0]
 
-    packed = np.zeros(n, np.uint32)
+    packed = np.zeros((len(x), n), np.uint32)
     for shape, c, high, wide, limit in FILTERS:
         t, h = wide // 2, high // 2
         if shape == "halves":
@@ -186,6 +185,21 @@ def codes(x: np.ndarray | None) -> np.ndarray:
     return packed.view(np.int32)
 
 
+def codes_of(recordings: list[np.ndarray | None]) -> list[np.ndarray]:
+    """The fingerprint of each recording, those of one length some at a time; none of a missing one."""
+    out = [np.zeros(0, np.int32)] * len(recordings)
+    by_length: dict[int, list[int]] = {}
+    for i, x in enumerate(recordings):
+        if x is not None:
+            by_length.setdefault(len(x), []).append(i)
+    for which in by_length.values():
+        for at in range(0, len(which), TOGETHER):
+            some = which[at : at + TOGETHER]
+            for i, made in zip(some, codes(np.stack([recordings[i] for i in some]))):
+                out[i] = made
+    return out
+
+
 def fingerprint(media: DataFrame, media_col: str, decoder: Decoder = decode_wav) -> DataFrame:
     """``media`` with ``codes``; ``decoder`` gives the samples of a value of the column."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -194,7 +208,7 @@ def fingerprint(media: DataFrame, media_col: str, decoder: Decoder = decode_wav)
 
     def make():
         def kernel(column: pa.Array) -> list[pa.Array]:
-            made = [codes(decoder(v.as_py())) for v in column]
+            made = [c for at in range(0, len(column), TOGETHER) for c in codes_of([decoder(v.as_py()) for v in column.slice(at, TOGETHER)])]
             bounds = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
             return [lists.cast(kind)]

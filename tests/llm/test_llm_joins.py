@@ -260,7 +260,7 @@ def test_audio_recall_against_brute_force(spark, sf_dir):
     rng = np.random.default_rng(1)
     vectors = [(r["vec_id"], np.array(r["embedding"])) for r in rows[:300]]
     vectors += [(10_000 + i, v + rng.normal(0, 0.01, 64)) for i, v in vectors[::20]]
-    ids, made = np.array([i for i, _ in vectors]), [audio.codes(audio.render(v.tolist())) for _, v in vectors]
+    ids, made = np.array([i for i, _ in vectors]), audio.codes_of([audio.render(v.tolist()) for _, v in vectors])
     picture = np.stack(made).view(np.uint32)
     n, truth = picture.shape[1], set()
     asked = np.flatnonzero(ids % 20 == 0)
@@ -281,7 +281,8 @@ def test_audio_of_odd_files():
         assert audio.decode_wav(wav(tone, 8000)[:24] + rate.to_bytes(4, "little") + wav(tone, 8000)[28:]) is None
     whole = wav(tone, 8000)
     assert all(audio.decode_wav(whole[:n]) is None or len(audio.decode_wav(whole[:n])) <= n for n in range(0, 200, 7))
-    assert len(audio.codes(audio.decode_wav(whole))) == len(audio.codes(np.interp(np.arange(0, 60_000, 8000 / audio.RATE), np.arange(60_000), tone)))
+    made = audio.codes_of([audio.decode_wav(whole), None, np.zeros(5), np.interp(np.arange(0, 60_000, 8000 / audio.RATE), np.arange(60_000), tone)])
+    assert len(made[0]) == len(made[3]) > 0 == len(made[1]) == len(made[2])
 
 
 @pytest.mark.parametrize("rate", [4000, 5512, 8000, 44100])
