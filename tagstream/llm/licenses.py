@@ -405,3 +405,34 @@ def scan(docs: DataFrame, text_col: str = "text", prefilter: bool = True) -> Dat
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scan(docs.select("doc_id", "text")).drop("text")
+
+
+def doubled(pattern: str) -> str:
+    """A rule's pattern over words with two spaces between them, so that neighbouring matches need not share one."""
+    out = re.sub(r"\.(?=\{)", "(?:[^ ]|\0)", pattern)
+    return re.sub(r"(?<!\^) (\??)", lambda m: "(?:\0)?" if m[1] else "\0", out).replace("\0", "  ")
+
+
+def sql() -> str:
+    """The same scan in DuckDB SQL: every rule on every text, and a detection stays unless an earlier one of no worse priority holds it."""
+    book = ",\n".join("('%s', '%s', %d, %r)" % (doubled(pattern), label, priority, sure) for _, _, pattern, label, priority, sure in rules())
+    at = [" AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split())) for phrase, _ in BASE]
+    places = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: {test}) AS at{k}" for k, test in enumerate(at))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    named = ", ".join(f"CASE WHEN len(at{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(BASE))
+    return f"""
+WITH rules(pattern, label, priority, sure) AS (VALUES {book}),
+split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+base AS (SELECT *, '  ' || array_to_string(w, '  ') || '  ' AS t, {places} FROM split),
+flat AS (SELECT *, list_concat(list_concat(at0, at1), at2) AS every, list_sort(list_distinct(list_filter([{named}], lambda x: x IS NOT NULL))) AS known FROM base),
+marked AS (SELECT doc_id, label, priority, sure::DOUBLE AS sure, string_split(regexp_replace(t, ' (' || pattern || ') ', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts
+  FROM flat, rules WHERE regexp_matches(t, ' (' || pattern || ') ')),
+counted AS (SELECT *, list_transform(parts, lambda p: len(list_filter(string_split(p, ' '), lambda x: x <> ''))) AS c FROM marked),
+hits AS (SELECT doc_id, label, priority, sure, list_sum(c[1 : 2 * k - 1]) AS s, list_sum(c[1 : 2 * k]) AS e FROM (SELECT *, unnest(range(1, len(parts) // 2 + 1)) AS k FROM counted)),
+kept AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND o.s <= h.s AND o.e >= h.e AND o.priority <= h.priority
+  AND (o.s < h.s OR o.e > h.e OR o.priority < h.priority OR o.label < h.label))),
+found AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(sure) AS sure FROM kept GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT - 1 AS first_word, list_max(every)::BIGINT - 1 AS last_word,
+  array_to_string(known, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(known, coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(known) > 0 THEN 1.0 ELSE coalesce(sure, 0) END::DOUBLE AS score FROM flat LEFT JOIN found USING (doc_id)
+"""

@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_topk_search": topk.SQL,
     "op5_source_mixing": mixing.sql(),
+    "op6_license_scan": licenses.sql(),
     "op9_ngram_jaccard_join": ngramjoin.SQL,
 }

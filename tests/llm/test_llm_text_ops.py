@@ -240,6 +240,22 @@ def test_license_scan_with_and_without_prefilter_and_against_a_plain_scan(docs,
     assert sum(r["labels"] != "" for r in got[0]) > 400
 
 
+def test_license_scan_against_sql(docs, spark):
+    import duckdb
+
+    draw = random.Random(4)
+    every = [t for _, _, pattern, *_ in licenses.rules() for t in samples(pattern)] + [t for t, *_ in ALTERNATIVES] + [t for t, *_ in LICENSED]
+    texts = every + [", ".join((draw.choice(every) or "") + draw.choice(["", " or later", " license", " x"]) for _ in range(4)) for _ in range(100)]
+    table = pa.table({"doc_id": list(range(10_000, 10_000 + len(texts))), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", pa.concat_tables([table, docs.select("doc_id", "text").toArrow().cast(table.schema)]))
+    rows = spark.createDataFrame(table.to_pandas(), "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({licenses.sql()})").fetchall()
+    got = [tuple(r) for r in licenses.scan(rows).select(*columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[6] != "" for r in got) > 400
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
