@@ -30,7 +30,7 @@ white space.
 Defined results: null, empty and text-free pages give the empty string; a page
 where nothing passes the threshold gives its largest marked element, or else its line of
 highest ratio.  Broken markup is read as far as the parser reads it, in linear time
-however deep it is.  Repeated rows give repeated results.
+however deep it is; a tag that the page's end cuts off is left out.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -81,6 +81,7 @@ _LAYOUT = frozenset(
 _TEASERS = frozenset("teaser teasers card cards promo promos related recommended preview summary excerpt".split())
 _TALKERS = frozenset("comment comments reply replies author avatar commenter username".split())
 _CONTENT = frozenset("article content main post entry story".split())
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -332,11 +333,22 @@ def container(page: Lines, weight: list[float], ahead: list[float]) -> Element:
             return at
 
 
+def finished(html: str) -> str:
+    """A page without the tag that its end cuts off, and without all but a few comments that nothing ends: the parser looks for their ends again and again."""
+    last = html.rfind(">") + 1
+    if m := _OPENS.search(html, last):
+        html = html[: m.start()]
+    closed = html.rfind("-->") + 1
+    if html.count("<!--", closed) > 16:
+        html = html[:closed] + html[closed:].replace("<!--", "")
+    return html
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    page.feed(finished(html))
     page.close()
     lines = page.lines
     chars, plain = running([len(line[0]) for line in lines]), running([min(line[1], len(line[0])) for line in lines])

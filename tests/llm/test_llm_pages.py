@@ -71,6 +71,11 @@ def test_made_up_pages(open_, close):
         assert main_text(page) == "\n\n".join([title, *(t for _, t in blocks)]), page
 
 
+def test_a_cut_off_tag_is_left_out():
+    assert main_text("<article><p>some words here</p><p>and more <b") == "some words here\n\nand more"
+    assert main_text("<p>3 < 4 and a <!-- comment --> b <!-- no end") in ("3 < 4 and a b", "3 < 4 and a b <!-- no end")
+
+
 LONG = "A long paragraph of the text that this page is about, with many words in it, so that it counts as content. "
 
 
@@ -94,7 +99,7 @@ def test_nothing_inside_an_article_goes_on_one_word():
     assert main_text(f'<article><p>{LONG}a <span class="hidden">no</span> b</p></article>') == LONG + "a b"
 
 
-@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x", "<b>" * 60_000 + "x" + "</i>" * 60_000, "<div><b>" * 30_000 + "</p></i>" * 30_000, "<p><i><hr>" * 30_000, "<div>" + "<b>" * 30_000 + "<hr>" * 30_000, '<div class="related">' * 30_000 + "x y", "<i><div>" * 20_000 + "</i>" * 20_000 + "</table>" * 20_000, "<article>" * 20_000 + "x" + "</main>" * 20_000, "<li class=comment>" * 30_000 + "<form>x"])
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "x", "<b>" * 60_000 + "x" + "</i>" * 60_000, "<div><b>" * 30_000 + "</p></i>" * 30_000, "<p><i><hr>" * 30_000, "<div>" + "<b>" * 30_000 + "<hr>" * 30_000, '<div class="related">' * 30_000 + "x y", "<i><div>" * 20_000 + "</i>" * 20_000 + "</table>" * 20_000, "<article>" * 20_000 + "x" + "</main>" * 20_000, "<li class=comment>" * 30_000 + "<form>x", "<p " * 50_000, '<a href="' * 30_000, "<a/b" * 30_000, "<!--" * 50_000, "<p>x</p>" + "<!--" * 50_000 + ">", "</" * 50_000])
 def test_deep_and_broken_markup_takes_linear_time(page):
     began = time.time()
     main_text(page)
