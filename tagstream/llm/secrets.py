@@ -14,15 +14,15 @@ ones, until none is left:
   after the other.
 
 All items are scanned, whatever their bytes are.  One whose bytes have been seen at
-the same place of the text, by steps of the same kinds, is not taken up again, so cycles (a stream that unpacks
+the same place of the text is not taken up again, so cycles (a stream that unpacks
 to itself) end.  Escapes that are still there after ``LEVELS`` rounds are a chain
 (``%252525...``) and are resolved to the end in one linear pass.  Each item keeps
 the ranges that it came from, so what is found inside is reported where it stands
 in the text.
 
 Kinds of findings in a layer carry its path, such as ``access+base64`` or
-``assign+base64+gzip``.  A finding counts only if each step of its path decoded a part
-of it; else it is left to the layer it came from.  Positions are code points, ends
+``assign+base64+gzip``, the shortest of several.  A finding of which no step decoded a part
+is left to the layer it came from.  Positions are code points, ends
 exclusive; a finding in a stream stands where the stream does.
 
 Memory.  A stream that unpacks to more than ``WINDOW`` bytes is scanned in windows of
@@ -32,7 +32,7 @@ its own end.  Base64 runs there are decoded window by window.
 
 Defined results: null and empty texts have no findings, and the digest of the
 empty string.  Texts are read whole.  A broken stream is scanned as far as it can be
-read, and stands for all behind its start; an xz stream that asks for a dictionary
+read, stands for all behind its start, and others are looked for behind what was read of it; an xz stream that asks for a dictionary
 above ``XZ_MEMORY`` counts as broken.  ``redact`` replaces each maximal union of
 findings by ``[secret]`` and keeps null.
 """
@@ -63,6 +63,8 @@ MIN_BASE64 = 19  # the shortest base finding has 14 bytes
 LEVELS = 8
 WINDOW, OVERLAP = 4 << 20, 1 << 20
 STEP = 1 << 18  # bytes that a decompressor gives at a time
+HEADER = 1 << 17  # bytes without content after which a stream counts as broken
+FIRST = 1 << 10  # bytes that it is given first
 XZ_MEMORY = 128 << 20  # the largest preset asks for 65 MB
 MARK = b"[secret]"
 OUTPUT = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
@@ -136,25 +138,23 @@ def may_hold(data: bytes) -> bool:
 
 
 class Layer:
-    """Decoded bytes.  ``source`` gives the range of the parent that a range came from, or None if nothing in it was decoded by the last step.
+    """Decoded bytes.  ``source`` gives the range of the parent that a range came from, and whether the last step decoded any of it.
 
     ``more`` gives what follows the data, where they are a window; streams that begin before ``until`` have been dealt with.
     """
 
     __slots__ = ("data", "path", "parent", "source", "more", "until")
 
-    def __init__(self, data: bytes, path: str = "", parent: Layer | None = None, source: Callable[[int, int], tuple[int, int] | None] | None = None, more: Callable[[], Iterator[bytes]] | None = None, until: int = 0) -> None:
+    def __init__(self, data: bytes, path: str = "", parent: Layer | None = None, source: Callable[[int, int], tuple[int, int, bool]] | None = None, more: Callable[[], Iterator[bytes]] | None = None, until: int = 0) -> None:
         self.data, self.path, self.parent, self.source, self.more, self.until = data, path, parent, source, more, until
 
     def outward(self, a: int, b: int) -> tuple[int, int] | None:
-        """The range of the first layer that a range came from; None if a step of the path decoded nothing of it."""
-        layer = self
+        """The range of the first layer that a range came from; None if no step decoded any of it."""
+        layer, decoded = self, False
         while layer.parent is not None:
-            got = layer.source(a, b)
-            if got is None:
-                return None
-            (a, b), layer = got, layer.parent
-        return a, b
+            a, b, here = layer.source(a, b)
+            layer, decoded = layer.parent, decoded or here
+        return (a, b) if decoded or self.parent is None else None
 
 
 class Unpacked:
@@ -162,6 +162,7 @@ class Unpacked:
 
     def __init__(self, name: str, source: Iterator[bytes]) -> None:
         self.name, self.source, self.taken, self.ended, self.broken = name, source, 0, False, False
+        self.good = 0  # bytes of the pieces that were read to their end
 
     def __iter__(self) -> Iterator[bytes]:
         try:
@@ -176,13 +177,18 @@ class Unpacked:
         for block in self.source:
             for at in range(0, len(block), STEP):
                 piece = block[at : at + STEP]
+                self.good = self.taken
                 self.taken += len(piece)
                 yield piece
 
     def deflated(self, d) -> Iterator[bytes]:
+        begun = False
         for piece in self.pieces():
+            if not begun and self.good > HEADER:
+                raise ValueError("a header without an end")
             while piece and not d.eof:
                 if out := d.decompress(piece, STEP):
+                    begun = True
                     yield out
                 piece = d.unconsumed_tail
             while not d.eof and (out := d.decompress(b"", STEP)):
@@ -217,14 +223,12 @@ def replaced(layer: Layer, at: np.ndarray, ends: np.ndarray, sizes: np.ndarray,
     out = np.empty(len(own), np.uint8)
     out[own], out[~own] = view[keep], values
 
-    def source(a: int, b: int) -> tuple[int, int] | None:
+    def source(a: int, b: int) -> tuple[int, int, bool]:
         first, last = (int(np.searchsorted(out_at, x, side="right")) - 1 for x in (a, b - 1))
         into = first >= 0 and a < out_at[first] + sizes[first]
-        if first == last and not into:
-            return None
         start = at[first] if into else a if first < 0 else ends[first] + a - out_at[first] - sizes[first]
-        end = ends[last] if b - 1 < out_at[last] + sizes[last] else ends[last] + b - out_at[last] - sizes[last]
-        return int(start), int(end)
+        end = b if last < 0 else ends[last] if b - 1 < out_at[last] + sizes[last] else ends[last] + b - out_at[last] - sizes[last]
+        return int(start), int(end), into or first < last
 
     return Layer(out.tobytes(), path, layer, source)
 
@@ -246,7 +250,7 @@ def settled(layer: Layer, ending: re.Pattern, value: Callable[[re.Match], bytes]
             low.extend([a] * len(got))
             high.extend([b] * len(got))
             made += b"\1" * len(got)
-    return Layer(bytes(out), path, layer, lambda a, b: (low[a], high[b - 1]) if any(made[a:b]) else None)
+    return Layer(bytes(out), path, layer, lambda a, b: (low[a], high[b - 1], any(made[a:b])))
 
 
 def escaped(m: re.Match) -> bytes:
@@ -302,7 +306,7 @@ def encoded_runs(layer: Layer) -> Iterator[tuple[int, bytes, np.ndarray | None]]
 
     for m in _RUN.finditer(data):
         a, b = m.span()
-        if layer.parent is None or layer.source(a, b) is not None:
+        if layer.parent is None or layer.source(a, b)[2]:  # else the layer around it has the same run
             yield a, m[0], None
         if a != end:  # it does not go on from the line before
             if len(open_) > 1:
@@ -328,9 +332,9 @@ def base64_layers(layer: Layer) -> Iterator[Layer]:
             continue
         for skip, got in enumerate(decoded):
 
-            def source(i: int, j: int, first: int = first, n: int = len(run), skip: int = skip, places: np.ndarray | None = places) -> tuple[int, int]:
+            def source(i: int, j: int, first: int = first, n: int = len(run), skip: int = skip, places: np.ndarray | None = places) -> tuple[int, int, bool]:
                 x, y = skip + i // 3 * 4, min(skip + (j - 1) // 3 * 4 + 3, n - 1)
-                return (first + x, first + y + 1) if places is None else (int(places[x]), int(places[y]) + 1)
+                return (first + x, first + y + 1, True) if places is None else (int(places[x]), int(places[y]) + 1, True)
 
             yield Layer(got, layer.path + "+base64", layer, source)
 
@@ -351,8 +355,9 @@ def stream_starts(layer: Layer) -> Iterator[tuple[int, str]]:
 
 def stream_at(layer: Layer, start: int, name: str) -> Unpacked:
     """The compressed stream that begins at a place; where the data are a window, it is read on behind it."""
-    rest = (layer.data[at : at + STEP] for at in range(start, len(layer.data), STEP))
-    return Unpacked(name, chain(rest, layer.more() if layer.more else ()))
+    near = start + FIRST  # most that look like a stream are none, and fail on their first bytes
+    rest = (layer.data[at : at + STEP] for at in range(near, len(layer.data), STEP))
+    return Unpacked(name, chain([layer.data[start:near]], rest, layer.more() if layer.more else ()))
 
 
 def explore(root: Layer, around: tuple[bytes, ...] = ()) -> set[tuple[int, int, int, str]]:
@@ -384,13 +389,14 @@ def explore(root: Layer, around: tuple[bytes, ...] = ()) -> set[tuple[int, int,
             else:
                 kinds = set()
             end = start + stream.taken if stream.ended or layer.more else len(layer.data)
-            if layer.parent is None or layer.source(start, min(end, len(layer.data))) is not None:
-                if kinds:
-                    if (place := layer.outward(start, min(end, len(layer.data)))) is not None:
-                        found.update((kind, *place, f"{layer.path}+{stream.name}{path}") for kind, path in kinds)
-                elif 0 < len(window) < WINDOW:
-                    yield Layer(window, f"{layer.path}+{stream.name}", layer, lambda a, b, s=start, e=min(end, len(layer.data)): (s, e))
-            layer.until = end if window and not stream.broken else start + 1
+            to = min(end, len(layer.data))
+            if kinds:
+                place = layer.outward(start, to) if layer.parent is not None else (start, to)
+                if place is not None:
+                    found.update((kind, *place, f"{layer.path}+{stream.name}{path}") for kind, path in kinds)
+            elif 0 < len(window) < WINDOW:
+                yield Layer(window, f"{layer.path}+{stream.name}", layer, lambda a, b, s=start, e=to: (s, e, True))
+            layer.until = end if window and not stream.broken else start + max(1, stream.good if window else 0)
 
     def windows(layer: Layer, start: int, name: str, blocks: Iterator[bytes], window: bytes) -> set[tuple[int, str]]:
         """Kinds and paths of what a stream of more than one window holds."""
@@ -429,8 +435,7 @@ def explore(root: Layer, around: tuple[bytes, ...] = ()) -> set[tuple[int, int,
             stack.pop()
             continue
         place = layer.outward(0, len(layer.data)) if layer.data else None
-        steps = "+".join(sorted(set(layer.path.split("+"))))  # a way by other steps may have decoded what this one left as it was
-        key = hashlib.sha256(layer.data + b"\0%d:%d%s" % (*(place or (-1, -1)), steps.encode())).digest()
+        key = hashlib.sha256(layer.data + b"\0%d:%d" % (place or (-1, -1))).digest()
         if place is None or key in seen or not may_hold(layer.data):
             continue
         seen.add(key)
@@ -445,8 +450,13 @@ def explore(root: Layer, around: tuple[bytes, ...] = ()) -> set[tuple[int, int,
 
 
 def layer_findings(data: bytes) -> list[tuple[int, int, int, str]]:
-    """(kind, start, end, path) of what the decoded layers of a text hold, in bytes of the text."""
-    return sorted(explore(Layer(data)), key=lambda f: (f[1], f[0], f[2], f[3]))
+    """(kind, start, end, path) of what the decoded layers of a text hold, in bytes of the text; of several paths to a finding the shortest."""
+    least: dict[tuple[int, int, int], str] = {}
+    for kind, a, b, path in explore(Layer(data)):
+        held = least.get((kind, a, b))
+        if held is None or (path.count("+"), path) < (held.count("+"), held):
+            least[kind, a, b] = path
+    return sorted(((*k, path) for k, path in least.items()), key=lambda f: (f[1], f[0], f[2], f[3]))
 
 
 def scan_rows(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, Found, list[tuple[int, int, int, str]]]]:
