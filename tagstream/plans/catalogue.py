@@ -351,6 +351,11 @@ def _(read):
     return frames(read).select(*KEY, dragged.alias("r")).select(*KEY, "r.*")
 
 
+def dealt(keys: DataFrame) -> DataFrame:
+    """Keys over all cores: what is drawn from them is far larger than they are, and a small file would be one task."""
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism)
+
+
 def pictures(read, table: str, key: str, draw: Callable, look: Callable, schema: str) -> DataFrame:
     """What ``look`` says of the stack of pictures that ``draw`` makes of an array of keys, a row for each key."""
     import pandas as pd
@@ -361,7 +366,7 @@ def pictures(read, table: str, key: str, draw: Callable, look: Callable, schema:
             for at in range(0, len(keys), 2000):
                 yield pd.DataFrame(look(keys[at : at + 2000], draw(keys[at : at + 2000])), columns=[c.split()[0] for c in schema.split(", ")])
 
-    return read(table).select(F.col(key).alias("k")).mapInPandas(run, schema)
+    return dealt(read(table).select(F.col(key).alias("k"))).mapInPandas(run, schema)
 
 
 def two_blocks(keys):
@@ -501,7 +506,7 @@ def synthetic_frames(read) -> DataFrame:
                 rows.append((key, 36, 48, image.tobytes()))
             yield pd.DataFrame(rows, columns=["frame_id", "height", "width", "data"])
 
-    return read("orders").select(F.col("o_orderkey").alias("frame_id")).mapInPandas(run, "frame_id long, height int, width int, data binary")
+    return dealt(read("orders").select(F.col("o_orderkey").alias("frame_id"))).mapInPandas(run, "frame_id long, height int, width int, data binary")
 
 
 # The blur takes one pixel off each side; the rectangle runs through pixel centres.

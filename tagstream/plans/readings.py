@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, master
 from ..operators.reader import Block
-from .catalogue import ENTRIES, query, sheet
+from .catalogue import ENTRIES, dealt, query, sheet
 
 WIDTH, HEIGHT, MARGIN = 64, 48, 4
 ZERO = 240  # the red value of digit 0
@@ -89,7 +89,7 @@ def camera_frames(read) -> DataFrame:
             yield pd.DataFrame(rows, columns=["frame_id", "image"])
 
     image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    return read("customer").select(F.col("c_custkey").alias("frame_id")).mapInPandas(run, f"frame_id long, {image}")
+    return dealt(read("customer").select(F.col("c_custkey").alias("frame_id"))).mapInPandas(run, f"frame_id long, {image}")
 
 
 def readings(frames: DataFrame, entries: DataFrame) -> DataFrame:
