@@ -27,6 +27,7 @@ from .reader import LabelReader, engine
 
 PREVIEW = (596, 312)
 LEVEL = 180
+BATCH_BYTES = 4 << 20
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -124,7 +125,13 @@ def read_one(region: np.ndarray, found: imaging.Found | None, reader: LabelReade
 
 
 def look(regions: DataFrame, name: str, factory: Callable[[], LabelReader], level: int = LEVEL) -> DataFrame:
-    """``regions`` with what is seen in them (``SEEN``) in place of ``image`` and ``region`` (x, y, w, h; null: not looked at)."""
+    """``regions`` with what is seen in them (``SEEN``) in place of ``image`` and ``region`` (x, y, w, h; null: not looked at).
+
+    Arrow batches are held to ``BATCH_BYTES``, unless the session has a bound of its own; else ten thousand frames are one.
+    """
+    conf, bound = regions.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(bound, None) is None:
+        conf.set(bound, str(BATCH_BYTES))
     keep = [c for c in regions.columns if c not in ("image", "region")]
     pixels = [F.col(f"image.{c}").alias(f"_{c}") for c in ("height", "width", "nChannels")] + [F.when(F.col("region").isNotNull(), F.col("image.data")).alias("_data")]
     sent = regions.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], *pixels, *[F.col(f"region.{c}").alias(f"_{c}") for c in "xywh"])

@@ -9,6 +9,7 @@ text would be, and says what a decoder and a recogniser would say of that label.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from .catalogue import ENTRIES, dealt, query, sheet
 
 WIDTH, HEIGHT, MARGIN = 64, 48, 4
 ZERO = 240  # the red value of digit 0
+TOGETHER = 256  # frames in a batch, 3 MB at most
 LOOKS, THINGS = ("small", "hot", "red", "blue", "large", "cold", "green"), ("ring", "widget", "bolt", "gear", "gizmo")
 
 
@@ -43,18 +45,19 @@ def drawn(key: int) -> np.ndarray:
     x, y, w, h = label_of(key)
     label = image[y + MARGIN : y + MARGIN + h, x + MARGIN : x + MARGIN + w]
     label[:] = 250
-    digits = [ZERO + int(d) for d in f"{key:05d}"]
+    digits = [ZERO + int(d) for d in f"{key:05d}"]  # five at least; the 19 of the largest key have room in the narrowest label
     seen = label[1 : h - 2, 1 : w - 2]  # what the detector takes for the label, after the blur
     if key % 19:
-        seen[0, :5, red] = digits
+        seen[0, : len(digits), red] = digits
     upright = seen[::-1, ::-1] if on_its_head(key) else seen
-    upright[int((h - 3) * 0.6), :5, red] = digits
+    upright[int((h - 3) * 0.6), : len(digits), red] = digits
     return image
 
 
 def number(pixels: np.ndarray) -> int | None:
-    digits = [int(p) - ZERO for p in pixels[:5]]
-    return int("".join(map(str, digits))) if all(0 <= d <= 9 for d in digits) else None
+    """The key whose digits stand at the beginning, up to the first pixel that is none; None without five."""
+    digits = list(takewhile(lambda d: 0 <= d <= 9, (int(p) - ZERO for p in pixels)))
+    return int("".join(map(str, digits))) if len(digits) >= 5 else None
 
 
 class Drawn:
@@ -76,20 +79,22 @@ class Drawn:
         return [(f" Brand#{key % 30 + 1}", 1.0), (str(key % 55 + 1), 1.0), *name]
 
 
-def camera_frames(read) -> DataFrame:
-    """(frame_id, image) of every customer, as Spark's image source gives them."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+def shots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames of keys, ``TOGETHER`` at a time: a part of keys is small, its frames are not."""
+    for part in parts:
+        for at in range(0, len(part), TOGETHER):
             rows = []
-            for key in part["frame_id"]:
+            for key in part["frame_id"].iloc[at : at + TOGETHER]:
                 image = drawn(key)
                 data = image.tobytes()
                 rows.append((key, None if key % 29 == 0 else {"origin": str(key), "height": HEIGHT, "width": WIDTH, "nChannels": image.shape[2], "mode": 0, "data": data[:-1] if key % 17 == 0 else data}))
             yield pd.DataFrame(rows, columns=["frame_id", "image"])
 
+
+def camera_frames(read) -> DataFrame:
+    """(frame_id, image) of every customer, as Spark's image source gives them."""
     image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    return dealt(read("customer").select(F.col("c_custkey").alias("frame_id"))).mapInPandas(run, f"frame_id long, {image}")
+    return dealt(read("customer").select(F.col("c_custkey").alias("frame_id"))).mapInPandas(shots, f"frame_id long, {image}")
 
 
 def readings(frames: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tagstream.functions import geometry as G
 from tagstream.operators import imaging, labels, master, outcome
 from tagstream.operators.reader import Replay
-from tagstream.plans import readings
+from tagstream.plans import catalogue, readings, streams  # noqa: F401
 from tagstream.streaming import state
 
 PATTERN = np.clip(190 + np.arange(61)[None, :] * 0.6 + np.arange(31)[:, None] * 0.9, 0, 255)  # brighter to the right and downwards
@@ -156,3 +158,50 @@ def test_blobs_against_tracing():
             if runs is not None:
                 assert found.area[found.runs.label[runs[0]]] == best[0]
                 assert found.bound(runs)[:2] == tuple(blobs[-best[1]].min(axis=0))
+
+
+#: Around the first key of six digits, as of a table sixty times the largest one here, and far beyond.
+KEYS = [*range(99_950, 100_100), *range(899_950, 900_000), *range(2**31 - 9, 2**31 + 9), *range(10**12, 10**12 + 30)]
+
+
+@pytest.fixture(scope="module")
+def long_keys(spark, sf_dir, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("long_keys"))
+    spark.createDataFrame([(k,) for k in KEYS], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    spark.read.parquet(f"{sf_dir}/part.parquet").write.parquet(f"{folder}/part.parquet")
+    return folder
+
+
+def as_sql_says(spark, folder, name):
+    duck = duckdb.connect()
+    for table in ("customer", "part"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, folder)
+    want = duck.sql(catalogue.SQL[name])
+    by = lambda rows: sorted(map(tuple, rows), key=str)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert by(got.select(*want.columns).collect()) == by(want.fetchall())
+
+
+@pytest.mark.parametrize("key", [0, 7, 99_999, 100_000, 899_999, 2**31, 10**15 + 3, 2**63 - 1])
+def test_a_label_holds_every_key(key):
+    key += next(i for i in range(99) if (key + i) % 19 and (key + i) % 11) if key < 2**62 else 0
+    x, y, w, h = (a + b for a, b in zip(readings.label_of(key), (readings.MARGIN + 1, readings.MARGIN + 1, -3, -3)))
+    label = imaging.to_bgr(readings.drawn(key))[y : y + h, x : x + w]
+    assert readings.number(label[0, :, 2]) == key
+    upright = label[::-1, ::-1] if readings.on_its_head(key) else label
+    assert readings.Drawn().read_text(labels.read_part(upright))[0] == (f" Brand#{key % 30 + 1}", 1.0)
+
+
+def test_label_detection_of_long_keys(spark, long_keys):
+    as_sql_says(spark, long_keys, "label_detection")
+
+
+def test_frames_are_drawn_and_sent_in_small_batches(spark, long_keys):
+    """Ten thousand keys are one batch, their frames would be 120 MB."""
+    parts = list(readings.shots(iter([pd.DataFrame({"frame_id": range(10_000)})])))
+    assert [k for part in parts for k in part["frame_id"]] == list(range(10_000))
+    assert max(sum(len(image["data"]) for image in part["image"].dropna()) for part in parts) <= labels.BATCH_BYTES
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalogue.QUERIES["label_detection"](spark, long_keys)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == labels.BATCH_BYTES
