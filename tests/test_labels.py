@@ -205,3 +205,7 @@ def test_frames_are_drawn_and_sent_in_small_batches(spark, long_keys):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     catalogue.QUERIES["label_detection"](spark, long_keys)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == labels.BATCH_BYTES
+
+
+def test_label_reading_of_long_keys(spark, long_keys):
+    as_sql_says(spark, long_keys, "label_reading")
