@@ -60,7 +60,7 @@ def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drawn frames as a stream of images from eight cameras, on to the display's state."""
     read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
     root, _, _ = own_folder(spark, "frames")
-    frames = readings.camera_frames(read).withColumn("camera_id", F.col("frame_id") % 8).withColumn("ts", F.timestamp_seconds(F.col("frame_id")))
+    frames = readings.camera_frames(read).withColumn("camera_id", F.col("frame_id") % 8).withColumn("ts", F.timestamp_micros(F.col("frame_id")))
     frames.write.parquet(f"{root}/in")
     arriving = spark.readStream.schema(frames.schema).parquet(f"{root}/in")
     seen = readings.readings(arriving, master.dictionary(sheet(read)))

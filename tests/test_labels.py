@@ -209,3 +209,7 @@ def test_frames_are_drawn_and_sent_in_small_batches(spark, long_keys):
 
 def test_label_reading_of_long_keys(spark, long_keys):
     as_sql_says(spark, long_keys, "label_reading")
+
+
+def test_stream_of_long_keys(spark, long_keys):
+    as_sql_says(spark, long_keys, "stream_label_reading")
