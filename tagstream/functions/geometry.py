@@ -7,6 +7,8 @@ truncation gives.  Casts from float to int truncate towards zero.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _f(c: Column) -> Column:
     return c.cast("float")
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, the value worked out once; a Column is spelled out wherever it is named, and steps on steps double at each."""
+    return F.transform(F.array(value), of)[0]
+
+
 def rect(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"))
 
@@ -40,19 +47,28 @@ def guide_to_frame(gx: Column, gy: Column, gw: Column, gh: Column, box_w: Column
     A frame or preview without area gives zeros and no image.
     """
     ok = (img_w > 0) & (img_h > 0) & (box_w > 0) & (box_h > 0)
-    iw, ih, bw, bh = (_f(F.when(ok, c).otherwise(F.lit(1))) for c in (img_w, img_h, box_w, box_h))
-    scale = F.least(_f(bw / iw), _f(bh / ih))
-    offset = lambda b, i: _f(_f(b - _f(i * scale)) / F.lit(2.0).cast("float"))
-    ox, oy = offset(bw, iw), offset(bh, ih)
+    half = F.lit(2.0).cast("float")
     zero = F.lit(0).cast("float")
-    x = F.greatest(zero, _f(_f(_f(gx) - ox) / scale))
-    y = F.greatest(zero, _f(_f(_f(gy) - oy) / scale))
-    w = F.least(_f(iw - x), _f(_f(gw) / scale))
-    h = F.least(_f(ih - y), _f(_f(gh) / scale))
-    mapped = intersect(x.cast("int"), y.cast("int"), w.cast("int"), h.cast("int"), img_w.cast("int"), img_h.cast("int"))
+    offset = lambda b, i, scale: _f(_f(b - _f(i * scale)) / half)
+    start = lambda g, o, scale: F.greatest(zero, _f(_f(_f(g) - o) / scale))
+    extent = lambda i, at, g, scale: F.least(_f(i - at), _f(_f(g) / scale)).cast("int")
+
+    def full(m: Column, scale: Column, o: Column) -> Column:
+        return F.struct(m.alias("mapped"), scale.alias("scale"), o["x"].alias("offset_x"), o["y"].alias("offset_y"), ((m["w"] > 0) & (m["h"] > 0)).alias("has_image"))
+
+    def within(s: Column, scale: Column, o: Column) -> Column:
+        corner = F.struct(start(gx, o["x"], scale).alias("x"), start(gy, o["y"], scale).alias("y"))
+        box = lambda at: F.struct(at["x"].cast("int").alias("x"), at["y"].cast("int").alias("y"), extent(s["iw"], at["x"], gw, scale).alias("w"), extent(s["ih"], at["y"], gh, scale).alias("h"))
+        mapped = lambda r: intersect(r["x"], r["y"], r["w"], r["h"], img_w.cast("int"), img_h.cast("int"))
+        return once(corner, lambda at: once(box(at), lambda r: once(mapped(r), lambda m: full(m, scale, o))))
+
+    def scaled(s: Column) -> Column:
+        offsets = lambda scale: F.struct(offset(s["bw"], s["iw"], scale).alias("x"), offset(s["bh"], s["ih"], scale).alias("y"))
+        return once(F.least(_f(s["bw"] / s["iw"]), _f(s["bh"] / s["ih"])), lambda scale: once(offsets(scale), lambda o: within(s, scale, o)))
+
+    sizes = F.struct(*[_f(F.when(ok, c).otherwise(F.lit(1))).alias(n) for n, c in (("iw", img_w), ("ih", img_h), ("bw", box_w), ("bh", box_h))])
     empty = F.struct(rect(*[F.lit(0)] * 4).alias("mapped"), zero.alias("scale"), zero.alias("offset_x"), zero.alias("offset_y"), F.lit(False).alias("has_image"))
-    full = F.struct(mapped.alias("mapped"), scale.alias("scale"), ox.alias("offset_x"), oy.alias("offset_y"), ((mapped["w"] > 0) & (mapped["h"] > 0)).alias("has_image"))
-    return F.when(ok, full).otherwise(empty)
+    return F.when(ok, once(sizes, scaled)).otherwise(empty)
 
 
 def moved(points: Column, dx: Column, dy: Column) -> Column:

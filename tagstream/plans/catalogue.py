@@ -351,9 +351,10 @@ def _(read):
     return frames(read).select(*KEY, dragged.alias("r")).select(*KEY, "r.*")
 
 
-def dealt(keys: DataFrame) -> DataFrame:
-    """Keys over all cores: what is drawn from them is far larger than they are, and a small file would be one task."""
-    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism)
+def dealt(keys: DataFrame, most: int | None = None) -> DataFrame:
+    """Keys over all cores: what is drawn from them is far larger than they are, and a small file would be one task.  ``most``: about so many in a task."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(max(cores, -(-keys.count() // most)) if most else cores)
 
 
 def pictures(read, table: str, key: str, draw: Callable, look: Callable, schema: str) -> DataFrame:

@@ -23,6 +23,7 @@ from .catalogue import ENTRIES, dealt, query, sheet
 WIDTH, HEIGHT, MARGIN = 64, 48, 4
 ZERO = 240  # the red value of digit 0
 TOGETHER = 256  # frames in a batch, 3 MB at most
+A_TASK = 8192  # frames in a task
 LOOKS, THINGS = ("small", "hot", "red", "blue", "large", "cold", "green"), ("ring", "widget", "bolt", "gear", "gizmo")
 
 
@@ -94,7 +95,7 @@ def shots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def camera_frames(read) -> DataFrame:
     """(frame_id, image) of every customer, as Spark's image source gives them."""
     image = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    return dealt(read("customer").select(F.col("c_custkey").alias("frame_id"))).mapInPandas(shots, f"frame_id long, {image}")
+    return dealt(read("customer").select(F.col("c_custkey").alias("frame_id")), A_TASK).mapInPandas(shots, f"frame_id long, {image}")
 
 
 def readings(frames: DataFrame, entries: DataFrame) -> DataFrame:

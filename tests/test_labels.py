@@ -213,3 +213,24 @@ def test_label_reading_of_long_keys(spark, long_keys):
 
 def test_stream_of_long_keys(spark, long_keys):
     as_sql_says(spark, long_keys, "stream_label_reading")
+
+
+def test_label_reading_compiles(spark, sf_dir):
+    """Spark's code for it is within the JVM's 64 KB a method: without the way back to interpreted expressions, that is an error."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert catalogue.QUERIES["label_reading"](spark, sf_dir).count() > 0
+        catalogue.QUERIES["label_reading"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_tasks_of_frames_are_bounded(spark, tmp_path):
+    spark.range(5 * readings.A_TASK).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    frames = readings.camera_frames(lambda table: spark.read.parquet(f"{tmp_path}/{table}.parquet"))
+    assert frames.rdd.getNumPartitions() == 5
+
+
+def test_hull_of_few_and_of_collinear_points():
+    for points, want in ([[(3, 1), (3, 2), (3, 5)], [(3, 1), (3, 5)]], [[(1, 1), (2, 2), (3, 3)], [(1, 1), (3, 3)]], [[(4, 4)] * 3, [(4, 4)]], [[(0, 0), (0, 1), (0, 2), (1, 1), (2, 0), (2, 2)], [(0, 0), (2, 0), (2, 2), (0, 2)]]):
+        assert imaging.hull(np.array(points)).tolist() == [list(p) for p in want]
