@@ -216,7 +216,7 @@ def test_stream_of_long_keys(spark, long_keys):
 
 
 def test_label_reading_compiles(spark, sf_dir):
-    """Spark's code for it is within the JVM's 64 KB a method: without the way back to interpreted expressions, that is an error."""
+    """Spark's code for it is within the JVM's 64 KB a method: without Spark's way back, more is an error."""
     spark.conf.set("spark.sql.codegen.fallback", "false")
     try:
         assert catalogue.QUERIES["label_reading"](spark, sf_dir).count() > 0
